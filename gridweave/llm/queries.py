@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, token_count
+from gridweave.llm import bpe, mixing, quality, token_count, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -23,12 +23,30 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ids=False, digests=True)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("times")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(url_filter.labelled(spark))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), weights).drop("score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op9_quality": op9_quality,
     "op8_token_count": op8_token_count,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.SQL,
+}
