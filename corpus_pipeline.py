@@ -1,20 +1,48 @@
-"""The corpus pipeline: five stages, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read by the next.
+
+Quality rules drop documents, near-duplicates leave one document of each group,
+repeated passages are cut from all documents but the first, the mix repeats or
+drops documents to meet its targets, and the rest is encoded.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridweave.llm import bpe
+from gridweave.llm import bpe, minhash, mixing, quality, suffixes
 from gridweave.llm.queries import tokenizer
 from gridweave.sources.scratch import Scratch
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: ids of every text."""
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.keep_good(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and one row of it."""
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds."""
+    return suffixes.cut_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    times = mixing.mix(docs).filter("times > 0").select(F.col("doc_id").alias("mixed_id"), "times")
+    joined = docs.join(times, F.col("doc_id") == F.col("mixed_id"))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every text."""
     return bpe.encode(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("quality", good), ("near_dedup", one_of_each), ("repeats", without_repeats), ("mixing", mixed), ("bpe", encoded)]
 ORACLE_SQL: str | None = None
 
 

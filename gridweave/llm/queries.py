@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, minhash, mixing, quality, token_count, url_filter
+from gridweave.llm import bpe, minhash, mixing, quality, suffixes, token_count, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -40,6 +40,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.spans(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
     "op9_quality": op9_quality,
+    "op7_suffixes": op7_suffixes,
     "op8_token_count": op8_token_count,
 }
 ORACLES: dict[str, str] = {
