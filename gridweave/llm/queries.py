@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, minhash, mixing, quality, suffixes, token_count, url_filter
+from gridweave.llm import bpe, language_model, minhash, mixing, neighbours, quality, suffixes, token_count, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -40,6 +40,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.spans(_table(spark, sf_dir, "documents"))
 
@@ -48,12 +52,19 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
     "op9_quality": op9_quality,
+    "op6_language_model": op6_language_model,
+    "op10_neighbours": op10_neighbours,
     "op7_suffixes": op7_suffixes,
     "op8_token_count": op8_token_count,
 }
