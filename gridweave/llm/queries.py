@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe, language_model, minhash, mixing, neighbours, quality, suffixes, token_count, url_filter
+from gridweave.llm import bpe, chunks, language_model, minhash, mixing, neighbours, quality, suffixes, token_count, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("times")
 
 
+def op4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.train(url_filter.labelled(spark))
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), weights).drop("score")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
+    "op4_chunks": op4_chunks,
     "op5_url_filter": op5_url_filter,
     "op9_quality": op9_quality,
     "op6_language_model": op6_language_model,
