@@ -19,6 +19,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value told (and worked out) once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def segments(line: Column) -> Column:
     """Edges of a line."""
     return F.zip_with(
@@ -102,9 +107,9 @@ def inside_length(ax: Column, ay: Column, bx: Column, by: Column, segs: Column)
 
     found = F.filter(F.flatten(F.transform(segs, cuts)), lambda t: (t > 0) & (t < 1))
     ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), found)))
-    pieces = F.zip_with(F.slice(ts, 1, F.size(ts) - 1), F.slice(ts, 2, F.size(ts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    mid = lambda p: (p["a"] + p["b"]) / 2
-    kept = F.filter(pieces, lambda p: inside_closed(ax + mid(p) * dx, ay + mid(p) * dy, segs))
+    pieces = let(ts, lambda ts: F.zip_with(F.slice(ts, 1, F.size(ts) - 1), F.slice(ts, 2, F.size(ts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    at = lambda p: F.struct((ax + (p["a"] + p["b"]) / 2 * dx).alias("x"), (ay + (p["a"] + p["b"]) / 2 * dy).alias("y"))
+    kept = F.filter(pieces, lambda p: let(at(p), lambda q: inside_closed(q["x"], q["y"], segs)))
     return F.when(length > 0, length * _sum(F.transform(kept, lambda p: p["b"] - p["a"]))).otherwise(F.lit(0.0))
 
 
@@ -114,27 +119,37 @@ def line_length(line: Column) -> Column:
 
 def measured(line: Column) -> Column:
     """Points of a line with their distance from its start: array<struct<x,y,d>>."""
-    first = line[0]
-    start = F.struct(F.array(F.struct(first["x"].alias("x"), first["y"].alias("y"), F.lit(0.0).alias("d"))).alias("all"))
-    step = lambda acc, p: F.struct(F.concat(acc["all"], F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"), (F.element_at(acc["all"], -1)["d"] + distance(F.element_at(acc["all"], -1)["x"], F.element_at(acc["all"], -1)["y"], p["x"], p["y"])).alias("d")))).alias("all"))
-    return F.aggregate(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), start, step)["all"]
+    mark = lambda x, y, d: F.struct(x.alias("x"), y.alias("y"), d.alias("d"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return let(F.element_at(acc, -1), lambda m: F.concat(acc, F.array(mark(p["x"], p["y"], m["d"] + distance(m["x"], m["y"], p["x"], p["y"])))))
+
+    return F.aggregate(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), F.array(mark(line[0]["x"], line[0]["y"], F.lit(0.0))), step)
 
 
 def interpolate(marks: Column, d: Column) -> Column:
-    """The point at distance d along a measured line (clamped to its ends)."""
-    last = F.element_at(marks, -1)
-    where = F.least(F.greatest(d, F.lit(0.0)), last["d"])
-    after = F.element_at(F.filter(marks, lambda m: m["d"] >= where), 1)
-    before = F.element_at(F.filter(marks, lambda m: m["d"] <= where), -1)
-    t = F.when(after["d"] > before["d"], (where - before["d"]) / (after["d"] - before["d"])).otherwise(F.lit(0.0))
-    return F.struct((before["x"] + t * (after["x"] - before["x"])).alias("x"), (before["y"] + t * (after["y"] - before["y"])).alias("y"))
+    """The point at distance d along a measured line (clamped to its ends); marks should be a name."""
+
+    def between(s: Column) -> Column:
+        t = F.when(s["b"]["d"] > s["a"]["d"], (s["at"] - s["a"]["d"]) / (s["b"]["d"] - s["a"]["d"])).otherwise(F.lit(0.0))
+        return let(t, lambda t: F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y")))
+
+    def ends(at: Column) -> Column:
+        a = F.element_at(F.filter(marks, lambda m: m["d"] <= at), -1)
+        b = F.element_at(F.filter(marks, lambda m: m["d"] >= at), 1)
+        return let(F.struct(at.alias("at"), a.alias("a"), b.alias("b")), between)
+
+    return let(F.least(F.greatest(d, F.lit(0.0)), F.element_at(marks, -1)["d"]), ends)
 
 
 def subline(line: Column, start: Column, stop: Column) -> Column:
     """The part of a line between two distances; two equal points if it is empty."""
-    marks = measured(line)
-    inner = F.transform(F.filter(marks, lambda m: (m["d"] > start + EPS) & (m["d"] < stop - EPS)), lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y")))
-    return F.concat(F.array(interpolate(marks, start)), inner, F.array(interpolate(marks, stop)))
+
+    def part(marks: Column) -> Column:
+        inner = F.transform(F.filter(marks, lambda m: (m["d"] > start + EPS) & (m["d"] < stop - EPS)), lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y")))
+        return F.concat(F.array(interpolate(marks, start)), inner, F.array(interpolate(marks, stop)))
+
+    return let(measured(line), part)
 
 
 def oriented(line: Column, x: Column, y: Column) -> Column:
@@ -160,20 +175,24 @@ def convex_buffer(ring: Column, r: Column, quarter: int = 4) -> Column:
     Non-convex rings get the outline of their vertices' discs seen from outside
     only at convex corners; containment tests on them use distances instead.
     """
-    open_ = F.slice(ring, 1, F.size(ring) - 1)
-    n = F.size(open_)
     area = _sum(F.transform(segments(ring), lambda s: s["x1"] * s["y2"] - s["x2"] * s["y1"]))
-    ccw = F.when(area < 0, F.reverse(open_)).otherwise(open_)
+    open_ = F.slice(ring, 1, F.size(ring) - 1)
+    pi = 3.141592653589793
+
+    def outline(ccw: Column) -> Column:
+        n = F.size(ccw)
+
+        def fan(c: Column) -> Column:
+            p, a, b = c["p"], c["a"], c["b"]
+            # the outward normal of an edge (dx, dy) of a counter-clockwise ring is (dy, -dx)
+            start = F.atan2(a["x"] - p["x"], p["y"] - a["y"])
+            turn = F.pmod(F.atan2(p["x"] - b["x"], b["y"] - p["y"]) - start, F.lit(2 * pi))
+            arc = F.struct(p.alias("p"), start.alias("start"), turn.alias("turn"), F.greatest(F.ceil(turn / (pi / (2 * quarter)) - 1e-9).cast("int"), F.lit(1)).alias("n"))
+            return let(arc, lambda v: F.transform(F.sequence(F.lit(0), v["n"]), lambda k: F.struct((v["p"]["x"] + r * F.cos(v["start"] + v["turn"] * k / v["n"])).alias("x"), (v["p"]["y"] + r * F.sin(v["start"] + v["turn"] * k / v["n"])).alias("y"))))
 
-    def corner(i: Column) -> Column:
         at = lambda k: F.element_at(ccw, (F.pmod(k, n) + 1).cast("int"))
-        p, a, b = at(i), at(i - 1 + n), at(i + 1)
-        start = F.atan2(-(p["x"] - a["x"]), p["y"] - a["y"])
-        turn = F.pmod(F.atan2(-(b["x"] - p["x"]), b["y"] - p["y"]) - start, F.lit(2 * 3.141592653589793))
-        steps = F.greatest(F.ceil(turn / (3.141592653589793 / (2 * quarter)) - 1e-9).cast("int"), F.lit(1))
-        # outward normal of an edge (dx, dy) of a counter-clockwise ring is (dy, -dx)
-        return F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct((p["x"] + r * F.cos(start + turn * k / steps)).alias("x"), (p["y"] + r * F.sin(start + turn * k / steps)).alias("y")))
-
-    # the outward normal's angle is that of (dy, -dx)
-    out = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), corner))
-    return F.when(r > 0, F.concat(out, F.array(out[0]))).otherwise(ring)
+        corners = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(i).alias("p"), at(i - 1 + n).alias("a"), at(i + 1).alias("b")))
+        return let(F.flatten(F.transform(corners, fan)), lambda out: F.concat(out, F.array(out[0])))
+
+    ccw = F.when(area < 0, F.reverse(open_)).otherwise(open_)
+    return F.when(r > 0, let(ccw, outline)).otherwise(ring)

@@ -56,16 +56,17 @@ def _piece(u: Column, v: Column, weight: Column, length: Column, line: Column, k
 
 def _cut(p: Column, node: Column, terminal: Column, limit: Column, fixed: Column) -> Column:
     """The pieces of edge p, whose end `node` is a leaf terminal with this limit."""
-    away = F.when(p["u"] == node, p["v"]).otherwise(p["u"])
     line = F.when(p["u"] == node, p["geom"]).otherwise(F.reverse(p["geom"]))
-    length, weight = p["length_m"], p["weight"]
-    along = geom.line_length(line)
-    whole = _piece(node, away, weight, length, line, p["edge_kind"])
-    connector = _piece(node, away, weight, length, line, F.lit("connector"))
-    w1 = F.when(length > 0, weight * limit / length).otherwise(weight / 2)
-    first = _piece(node, ids.attach_node(terminal), w1, limit, geom.subline(line, F.lit(0.0), limit), F.lit("connector"))
-    rest = _piece(ids.attach_node(terminal), away, weight - w1, length - limit, geom.subline(line, limit, along), F.lit("backbone"))
-    return F.when(fixed, F.array(connector)).when(length <= limit + 1e-6, F.array(whole)).when(limit >= along - 1e-6, F.array(connector)).otherwise(F.array(first, rest))
+    turned = F.struct(node.alias("node"), F.when(p["u"] == node, p["v"]).otherwise(p["u"]).alias("away"), line.alias("line"), geom.line_length(line).alias("along"), p["length_m"].alias("length"), p["weight"].alias("weight"), p["edge_kind"].alias("kind"))
+
+    def pieces(e: Column) -> Column:
+        whole = lambda kind: F.array(_piece(e["node"], e["away"], e["weight"], e["length"], e["line"], kind))
+        w1 = F.when(e["length"] > 0, e["weight"] * limit / e["length"]).otherwise(e["weight"] / 2)
+        first = _piece(e["node"], ids.attach_node(terminal), w1, limit, geom.subline(e["line"], F.lit(0.0), limit), F.lit("connector"))
+        rest = _piece(ids.attach_node(terminal), e["away"], e["weight"] - w1, e["length"] - limit, geom.subline(e["line"], limit, e["along"]), F.lit("backbone"))
+        return F.when(fixed, whole(F.lit("connector"))).when(e["length"] <= limit + 1e-6, whole(e["kind"])).when(limit >= e["along"] - 1e-6, whole(F.lit("connector"))).otherwise(F.array(first, rest))
+
+    return geom.let(turned, pieces)
 
 
 def with_attachments(tree: DataFrame, limited: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -83,11 +84,11 @@ def with_attachments(tree: DataFrame, limited: DataFrame) -> tuple[DataFrame, Da
     told = told.withColumn("t1", earlier).withColumn("t2", later)
     fixed = F.coalesce("fixed", F.lit(False)) | F.col("u").startswith("steiner:fixed_exit:") | F.col("v").startswith("steiner:fixed_exit:")
     start = _piece(F.col("u"), F.col("v"), F.col("weight"), F.col("length_m"), F.col("geom"), F.col("edge_kind"))
-    cut = lambda p, t: F.when(t.isNull(), F.array(p)).otherwise(_cut(p, t["node_id"], t["terminal_id"], t["limit_m"], fixed))
-    told = told.withColumn("parts", cut(start, F.col("t1")))
+    cut = lambda p, t: geom.let(p, lambda e: _cut(e, t["node_id"], t["terminal_id"], t["limit_m"], fixed))
+    once = F.when(F.col("t1").isNull(), F.array(start)).otherwise(cut(start, F.col("t1")))
     # the second terminal is an end of the last piece
-    last = F.element_at("parts", -1)
-    told = told.withColumn("parts", F.when(F.col("t2").isNull(), F.col("parts")).otherwise(F.concat(F.slice("parts", 1, F.size("parts") - 1), cut(last, F.col("t2")))))
+    twice = lambda parts: F.when(F.col("t2").isNull(), parts).otherwise(F.concat(F.slice(parts, 1, F.size(parts) - 1), cut(F.element_at(parts, -1), F.col("t2"))))
+    told = told.withColumn("parts", geom.let(once, twice))
     out = told.select("project_id", "fixed", F.inline("parts")).select(*TREE_COLUMNS)
     made = out.filter(F.col("v").startswith("steiner:attach:") & F.col("u").startswith("terminal:"))
     end = F.element_at("geom", -1)
@@ -161,7 +162,7 @@ def repelled(tree: DataFrame, nodes: DataFrame, radius: DataFrame) -> DataFrame:
                 told[n] = f"steiner_repel_failed:{n}"
         return pd.DataFrame([(nodes["project_id"].iloc[0], n, p[0], p[1], told.get(n)) for n, p in at.items()], columns=["project_id", "node_id", "x_m", "y_m", "warning"])
 
-    n = nodes.join(radius.select("project_id", "radius_m"), "project_id").select("project_id", "node_id", "ord", "x_m", "y_m", "radius_m")
+    n = nodes.join(radius.select("project_id", "radius_m"), "project_id").select(*(F.col(c).alias(c) for c in ("project_id", "node_id", "ord", "x_m", "y_m", "radius_m")))
     return tree.select("project_id", "u", "v").groupBy("project_id").cogroup(n.groupBy("project_id")).applyInPandas(run, REPELLED)
 
 
@@ -171,7 +172,8 @@ def attachments(tree: DataFrame, terminals: DataFrame) -> DataFrame:
     first = both.groupBy("project_id", "node_id").agg(F.min("other").alias("other"))
     t = terminals.join(first, ["project_id", "node_id"], "left")
     beyond = both.filter(F.col("node_id").startswith("steiner:hub:")).withColumnRenamed("node_id", "hub")
-    beyond = beyond.filter(F.concat(F.lit("terminal:"), F.substring_index("hub", "steiner:hub:", -1)) != F.col("other")).groupBy("project_id", "hub").agg(F.min("other").alias("beyond"))
-    t = t.join(beyond, (t["project_id"] == beyond["project_id"]) & (t["other"] == beyond["hub"]), "left").drop(beyond["project_id"])
+    beyond = beyond.filter(F.concat(F.lit("terminal:"), F.substring_index("hub", "steiner:hub:", -1)) != F.col("other"))
+    beyond = beyond.withColumnRenamed("other", "next").groupBy("project_id", F.col("hub").alias("other")).agg(F.min("next").alias("beyond"))
+    t = t.join(beyond, ["project_id", "other"], "left")
     via = F.when(F.col("other").startswith("steiner:hub:"), "hub").when(F.col("other").startswith("steiner:attach:"), "attach").when(F.col("other").startswith("steiner:fixed_exit:"), "fixed_exit").otherwise("tree")
     return t.select("project_id", "ord", "terminal_id", "role", F.coalesce("beyond", "other", F.lit("")).alias("attached_to"), via.alias("via"))
