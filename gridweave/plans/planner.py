@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridweave.functions import crs, geom, ids
 from gridweave.operators import checks, graphs, raster, trees, zones as z
-from gridweave.operators.components import components
 from gridweave.sources import requests as rq
 from gridweave.sources.scratch import Scratch
 
@@ -113,7 +112,7 @@ def full_edges(nodes: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame
 
 def pruned(edges: DataFrame, nodes: DataFrame, terminals: DataFrame) -> DataFrame:
     """Edges within the largest component that holds all terminals; a project without one keeps all."""
-    parts = components(edges.select("project_id", "u", "v"), ("project_id",))
+    parts = graphs.project_components(edges)
     keep = graphs.largest_component_with(edges, nodes, terminals, parts)
     some = keep.select("project_id").distinct().withColumn("whole", F.lit(True))
     named = edges.join(keep.withColumnRenamed("node_id", "u").withColumn("held", F.lit(True)), ["project_id", "u"], "left").join(some, "project_id", "left")
