@@ -454,5 +454,8 @@ def plan_responses(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole plans for the smallest tables."""
-    return plan_responses(spark, sf_dir)
+    """A least tree for each nation's customers, round ban zones and through penalty zones."""
+    t = s.customer_terminals(spark, sf_dir)
+    edges = z.direct_edges(z.node_pairs(t), s.zones(spark, sf_dir))
+    tree = graphs.steiner_tree(edges, t)
+    return tree.groupBy("project_id").agg(r(F.sum("weight")).alias("cost"), F.count("*").alias("edges"), F.min("solver").alias("solver"))

@@ -41,6 +41,14 @@ def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as terminals, a project for each nation."""
+    k, w = F.col("c_custkey"), Window.partitionBy("c_nationkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.count("*").over(w).alias("size"), (F.row_number().over(w.orderBy("c_custkey")) - 1).alias("ord")).filter("size >= 2")
+    name = F.concat(F.lit("c"), k.cast("string"))
+    return c.select(F.concat(F.lit("p"), F.col("c_nationkey").cast("string")).alias("project_id"), "ord", name.alias("terminal_id"), ids.terminal_node(name).alias("node_id"), (F.lit(500000.0) + k * 7919 % 2000).alias("x_m"), (F.lit(6200000.0) - k * 104729 % 2000).alias("y_m"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminals(spark, sf_dir).withColumn("kind", F.lit("terminal"))
 
