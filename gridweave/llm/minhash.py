@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import text
+from gridweave.llm.membership import Members
 from gridweave.operators.components import components
 from gridweave.sources.scratch import Scratch
 
@@ -122,7 +123,7 @@ def star_links(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, whole: bool) -
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind key (key, sub, doc) to be shuffled, and of kind link (key: any, doc, other)."""
+    """Rows of buckets (key, sub, doc), and links (any key; doc and other)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
             rows = batch.slice(at, 4000)
@@ -130,15 +131,16 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint64).reshape(-1, 2 * M)
             f, g = band[:, :M, None], band[:, None, M:]
             key = text.mix((f * np.uint64(0x9E3779B97F4A7C15) + g) ^ _TABLE.reshape(1, M, M)).reshape(-1).view(np.int64)
-            sub = np.broadcast_to(np.roll(band[:, M:], -1, 1)[:, None, :], (len(doc), M, M)).reshape(-1).view(np.int64)
+            sub = np.broadcast_to(np.roll(band[:, M:], -1, 1)[:, None, :], (len(doc), M, M)).reshape(-1)
+            sub = (sub >> np.uint64(32)).astype(np.uint32).view(np.int32)
             each = np.repeat(doc, M * M)
             order = np.lexsort((each, sub, key))
             key, sub, each = key[order], sub[order], each[order]
             a, b, head = star_links(key, sub, each, False)
             n, k = len(head), len(a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[head], text.mix(b.view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([sub[head], a])), pa.array(np.concatenate([each[head], b])), pa.array(np.arange(n + k) >= n)],
-                ["key", "sub", "doc", "is_link"],
+                [pa.array(np.concatenate([key[head], text.mix(b.view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([sub[head], np.zeros(k, np.int32)])), pa.array(np.concatenate([each[head], b])), pa.array(np.concatenate([np.full(n, -1), a]), mask=np.arange(n + k) < n)],
+                ["key", "sub", "doc", "other"],
             )
 
 
@@ -147,8 +149,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     top = None  # (key, sub, first of the sub-bucket, first of the bucket)
     for batch in batches:
         key, sub, doc = (batch.column(i).to_numpy() for i in range(3))
-        link = batch.column(3).to_numpy(zero_copy_only=False)
-        out_a, out_b = [sub[link]], [doc[link]]
+        other = batch.column(3)
+        link = other.is_valid().to_numpy(zero_copy_only=False)
+        out_a, out_b = [other.drop_null().to_numpy()], [doc[link]]
         key, sub, doc = key[~link], sub[~link], doc[~link]
         if len(key):
             a, b, head = star_links(key, sub, doc, True)
@@ -211,15 +214,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     some = sketched.filter("n > 0")
     classes = scratch.keep(some.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = some.select("doc_id", "n", "bands").join(classes.select(F.col("rep").alias("doc_id"), "n"), ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
-    keyed = chosen.select("doc_id", "bands").mapInArrow(_keys, "key long, sub long, doc long, is_link boolean")
+    keyed = chosen.select("doc_id", "bands").mapInArrow(_keys, "key long, sub int, doc long, other long")
     linked = keyed.repartition("key").sortWithinPartitions("key", "sub", "doc").mapInArrow(_links, "a long, b long, n long")
     sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("size_a"))
     links = scratch.keep(linked.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
     links = links.join(sizes, "a").join(sizes.toDF("b", "size_b"), "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     links = scratch.keep(links.select("a", "b", "n"), "sized")
     scratch.drop("links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.keep(texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc long, set binary").dropDuplicates(["doc"]), "sets")
+    ends = Members(links.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
+    sets = scratch.keep(ends.pick(texts, "doc_id").mapInArrow(_sets, "doc long, set binary"), "sets")
     best = links.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     first = scratch.keep(confirmed(best.select("a", "b"), sets, percent), "first")
     groups = components(first, scratch=Scratch(docs.sparkSession, "minhash-first"))
