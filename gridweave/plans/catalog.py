@@ -448,6 +448,49 @@ def connectivity_issues(spark, d):
     return checks.connectivity_issues(edges, s.terminals(spark, d)).filter("severity = 'error'").select("project_id", "code")
 
 
+@query(f"""WITH {s.TERMINALS_SQL} SELECT project_id, ord AS seq, 'raster_extent' AS code, terminal_id AS message FROM terminals WHERE NOT (x_m >= 500000 AND x_m < 501000 AND y_m <= 6200000 AND y_m > 6199000)""")
+def extent_issues(spark, d):
+    t = s.terminals(spark, d)
+    meta = t.select("project_id", *(F.lit(v).alias(c) for c, v in (("a", 50.0), ("c", 500000.0), ("e", -50.0), ("f", 6200000.0), ("rows", 20), ("cols", 20)))).distinct()
+    return checks.extent_issues(t, meta).select("project_id", "seq", "code", "message")
+
+
+@query(f"WITH {s.TERMINALS_SQL}, {s.ZONES_SQL}, {PAIRS_SQL}, {CLIP_SQL} SELECT DISTINCT project_id, 'routing_skipped:' || u || ':' || v || ':ban_forbidden_weight' AS message FROM clipped WHERE mode = 'ban' AND inside > 1e-3")
+def skipped_pairs(spark, d):
+    edges = z.direct_edges(z.node_pairs(s.terminals(spark, d)), s.zones(spark, d)).filter("crosses_ban")
+    skipped = edges.select("project_id", F.col("u").alias("a"), F.col("v").alias("b"), F.lit("ban_forbidden_weight").alias("reason"))
+    return checks.skipped_warnings(skipped).select("project_id", "message")
+
+
+@query(f"""WITH {s.TERMINALS_SQL}, {s.ZONES_SQL}, {PAIRS_SQL}, {CLIP_SQL}, told AS (SELECT project_id, u, v, bool_or(mode = 'ban' AND inside > 1e-3) AS crosses FROM clipped GROUP BY ALL)
+SELECT project_id, u, v, crosses AS crosses_ban FROM told WHERE NOT (crosses AND substr(project_id, 2)::INT % 2 = 0)""")
+def routed_edges(spark, d):
+    t = s.terminals(spark, d)
+    around = F.substring("project_id", 2, 9).cast("int") % 2 == 0
+    options = t.select("project_id", F.when(around, "obstacle").otherwise("direct").alias("euclid_routing")).distinct()
+    return z.graph_edges(z.node_pairs(t), s.zones(spark, d), options).select("project_id", "u", "v", "crosses_ban")
+
+
+@query(f"""WITH {s.TERMINALS_SQL}, {s.ZONES_SQL}, box AS (SELECT project_id AS p, min(x_m) - 300 AS x0, min(y_m) - 300 AS y0, max(x_m) + 300 AS x1, max(y_m) + 300 AS y1 FROM terminals GROUP BY project_id),
+corners AS (SELECT project_id, 'penalty:' || zone_id || ':' || k AS node_id, CASE WHEN k IN (0, 3) THEN xmin ELSE xmax END AS x_m, CASE WHEN k < 2 THEN ymin ELSE ymax END AS y_m FROM zones, unnest(range(4)) AS g(k) WHERE mode = 'penalty')
+SELECT project_id, node_id, x_m, y_m FROM corners JOIN box ON p = project_id WHERE x_m BETWEEN x0 AND x1 AND y_m BETWEEN y0 AND y1""")
+def contour_nodes(spark, d):
+    box = z.bounding_box(s.terminals(spark, d), F.lit(300.0))
+    return z.contour_nodes(s.zones(spark, d).drop("xmin", "ymin", "xmax", "ymax"), box, "penalty", "penalty_contour", "penalty").select("project_id", "node_id", "x_m", "y_m")
+
+
+@query(f"""WITH RECURSIVE {s.TERMINALS_SQL}, {PAIRS_SQL}, near AS (SELECT project_id, u, v FROM pairs WHERE length_m < 600), far AS (SELECT project_id, count(*) AS skipped FROM pairs WHERE length_m > 2000 GROUP BY project_id),
+both_ways AS (SELECT * FROM near UNION SELECT project_id, v, u FROM near), reach AS (SELECT project_id, node_id AS node, node_id AS seen FROM terminals UNION SELECT r.project_id, r.node, b.v FROM reach r JOIN both_ways b ON r.project_id = b.project_id AND r.seen = b.u),
+parts AS (SELECT project_id, count(DISTINCT c) AS components, count(*) AS nodes FROM (SELECT project_id, node, min(seen) AS c FROM reach GROUP BY ALL) GROUP BY project_id),
+e AS (SELECT project_id, count(*) AS edges FROM near GROUP BY project_id)
+SELECT p.project_id, nodes, coalesce(edges, 0) AS edges, components, coalesce(skipped, 0) AS skipped, (nodes * (nodes - 1) // 2)::BIGINT AS attempts, round(CASE WHEN nodes * (nodes - 1) // 2 > coalesce(skipped, 0) THEN coalesce(edges, 0) / (nodes * (nodes - 1) // 2 - coalesce(skipped, 0))::DOUBLE ELSE 0 END, 6) AS edge_ratio
+FROM parts p LEFT JOIN e ON e.project_id = p.project_id LEFT JOIN far f ON f.project_id = p.project_id""")
+def routing_summary(spark, d):
+    t = s.terminals(spark, d)
+    pairs = z.node_pairs(t)
+    return checks.routing_summary(t, pairs.filter("length_m < 600"), pairs.filter("length_m > 2000")).select("project_id", "nodes", "edges", "components", "skipped", "attempts", r("edge_ratio", 6))
+
+
 @query()
 def plan_responses(spark, d):
     return planner.plan_batch(s.requests(spark, d)).responses
