@@ -241,18 +241,15 @@ NEAR_SQL = """near AS (SELECT DISTINCT c."row", c.col FROM cells c JOIN segs g O
 
 @query(f'WITH {s.CELLS_SQL}, {s.CORRIDORS_SQL}, {NEAR_SQL} SELECT c."row", c.col, n."row" IS NOT NULL AS in_corridor FROM cells c LEFT JOIN near n ON c."row" = n."row" AND c.col = n.col')
 def corridor_mask(spark, d):
-    told = s.cells(spark, d).join(s.meta(spark).select("project_id", "a", "c", "e", "f"), "project_id").join(raster.corridor_lines(s.corridors(spark, d)), "project_id")
-    x, y = ids.cell_to_world(F.col("row"), F.col("col"), *(F.col(k) for k in "acef"))
-    return told.select("row", "col", raster.in_corridor(x, y, F.col("lines"), F.lit(5.0)).alias("in_corridor"))
+    near = raster.near_lines(s.corridors(spark, d), s.meta(spark).select("project_id", "a", "c", "e", "f"), F.lit(5.0)).withColumn("in_corridor", F.lit(True))
+    return s.cells(spark, d).join(near, ["project_id", "row", "col"], "left").select("row", "col", F.coalesce("in_corridor", F.lit(False)).alias("in_corridor"))
 
 
 @query(f"""WITH {s.TERMINALS_SQL}, {s.CELLS_SQL}, {s.CORRIDORS_SQL}, {NEAR_SQL}, hubs AS (SELECT x_m AS hx, y_m AS hy FROM terminals WHERE ord = 0)
 SELECT c."row", c.col, n."row" IS NOT NULL AND NOT EXISTS (SELECT 1 FROM hubs WHERE sqrt((x_m - hx) * (x_m - hx) + (y_m - hy) * (y_m - hy)) <= 150) AS excluded FROM cells c LEFT JOIN near n ON c."row" = n."row" AND c.col = n.col""")
 def trace_exclusion(spark, d):
-    x, y = ids.cell_to_world(F.col("row"), F.col("col"), *(F.col(k) for k in "acef"))
-    placed = s.cells(spark, d).join(s.meta(spark).select("project_id", "a", "c", "e", "f"), "project_id").withColumn("x_m", x).withColumn("y_m", y)
     hubs = s.terminals(spark, d).filter("ord = 0").select(F.lit("grid").alias("project_id"), "x_m", "y_m")
-    return raster.excluded(placed, s.corridors(spark, d), hubs, 5.0, 150.0).select("row", "col", "excluded")
+    return raster.excluded(s.cells(spark, d), s.meta(spark), s.corridors(spark, d), hubs, 5.0, 150.0).select("row", "col", "excluded")
 
 
 @query(f"""WITH {COST_SQL} SELECT 'grid:' || "row" || '_' || col AS node_id, x_m, y_m, "row", col FROM costed WHERE "row" % 8 = 0 AND col % 8 = 0 AND isfinite(cost)""")
@@ -297,11 +294,11 @@ def connected_components(spark, d):
 
 
 @query(f"""WITH RECURSIVE {s.LINKS_SQL}, both_ways AS (SELECT u, v, weight FROM links UNION SELECT v, u, weight FROM links), hops AS (SELECT u AS node, 0.0::DOUBLE AS distance, 0 AS n FROM (SELECT min(u) AS u FROM links)
-UNION SELECT b.v, h.distance + b.weight, n + 1 FROM hops h JOIN both_ways b ON h.node = b.u WHERE n < 12 AND h.distance + b.weight <= 40) SELECT node, min(distance) AS distance FROM hops GROUP BY node HAVING min(distance) <= 40""")
+UNION SELECT b.v, h.distance + b.weight, n + 1 FROM hops h JOIN both_ways b ON h.node = b.u WHERE n < 22) SELECT node, min(distance) AS distance FROM hops GROUP BY node""")
 def shortest_paths(spark, d):
     net = s.links(spark, d)
     first = net.groupBy("project_id").agg(F.min("u").alias("node_id"))
-    return graphs.shortest_paths(net, first).filter("distance <= 40").select("node", "distance")
+    return graphs.shortest_paths(net, first).select("node", "distance")
 
 
 @query()
@@ -314,9 +311,8 @@ def steiner_trees(spark, d):
 @query()
 def least_cost_paths(spark, d):
     costs = _costs(spark, d)
-    found = raster.grid_candidates(costs, 10).limit(1000).withColumn("ord", F.col("row") * 50 + F.col("col"))
-    near = found.filter("row < 40")
-    paths = graphs.least_cost_paths(costs.join(s.meta(spark).select("project_id", "a", "e"), "project_id"), near)
+    found = raster.grid_candidates(costs, 20).withColumn("ord", F.col("row") * 50 + F.col("col"))
+    paths = graphs.least_cost_paths(costs.join(s.meta(spark).select("project_id", "a", "e"), "project_id"), found)
     return paths.select("u", "v", r("weight"), r("length_m"), r("objective"), F.size("path").alias("cells"))
 
 

@@ -98,16 +98,16 @@ def grid_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORRIDORS_SQL = """
-pts AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, 500000.0::DOUBLE + event_id * 37 % 2500 AS x, 6200000.0::DOUBLE - event_id * 91 % 2000 AS y FROM events WHERE user_id < 20),
+pts AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, 500000.0::DOUBLE + event_id * 37 % 2500 AS x, 6200000.0::DOUBLE - event_id * 91 % 2000 AS y FROM events),
 segs AS (SELECT user_id, pos, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY pos))
 """
 
 
 def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line for each of twenty users, through their events in time order."""
+    """One line for each user, through their events in time order."""
     e = F.col("event_id")
     p = geom.point(F.lit(500000.0) + e * 37 % 2500, F.lit(6200000.0) - e * 91 % 2000)
-    own = table(spark, sf_dir, "events").filter("user_id < 20").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", p.alias("p")))).alias("all"))
+    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", p.alias("p")))).alias("all"))
     return own.select(F.lit("grid").alias("project_id"), F.col("user_id").alias("line_ord"), F.transform("all", lambda r: r["p"]).alias("geom"), F.lit(0.5).alias("cost_multiplier"))
 
 
