@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridweave.llm import text, vocab
 
 #: Entries of the unit cache before it starts anew.
-CACHE = 500_000
+CACHE = 150_000
 NEVER = np.int64(1 << 60)
 
 
