@@ -31,17 +31,25 @@ class Members:
     def place(self, id_: Column) -> Column:
         return F.pmod(F.xxhash64(id_.cast("long")), F.lit(self.bits))
 
-    def pick(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
-        """The rows of df that may be members, or else those that surely are not."""
+    def marked(self, df: DataFrame, column: str) -> DataFrame:
+        """df with the place of each row's bit as one more column at its end."""
         name = "place"
         while name in df.columns:
             name += "_"
+        return df.withColumn(name, self.place(F.col(column)))
+
+    def pick(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df that may be members."""
+        return self.through(df, column, lambda batches: batches, df.schema)
+
+    def through(self, df: DataFrame, column: str, f, schema) -> DataFrame:
+        """df.mapInArrow(f, schema) of the rows that may be members, in one Python step."""
         map_ = self.map
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column(batch.num_columns - 1).to_numpy()
                 hit = (map_.value[at >> 6] >> (at & 63)) & 1
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array((hit == 1) == inside))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit == 1))
 
-        return df.withColumn(name, self.place(F.col(column))).mapInArrow(run, df.schema)
+        return self.marked(df, column).mapInArrow(lambda batches: f(picked(batches)), schema)

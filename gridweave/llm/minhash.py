@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = scratch.keep(links.select("a", "b", "n"), "sized")
     scratch.drop("links")
     ends = Members(links.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    sets = scratch.keep(ends.pick(texts, "doc_id").mapInArrow(_sets, "doc long, set binary"), "sets")
+    sets = scratch.keep(ends.through(texts, "doc_id", _sets, "doc long, set binary"), "sets")
     best = links.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     first = scratch.keep(confirmed(best.select("a", "b"), sets, percent), "first")
     groups = components(first, scratch=Scratch(docs.sparkSession, "minhash-first"))
