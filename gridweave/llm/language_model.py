@@ -39,7 +39,8 @@ from gridweave.sources.scratch import Scratch
 
 HEAD, MOST_BYTES = 1 << 18, 64
 CLASSES = 32
-HASHED = 1 << 14
+HASHED_BITS = 14
+HASHED = 1 << HASHED_BITS
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.2
@@ -59,7 +60,7 @@ def _words(buf: np.ndarray, off: np.ndarray) -> text.Words:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in text.slices(batches, most=4 * text.SLICE_BYTES):
+    for rows, buf, off in text.slices(batches, most=2 * text.SLICE_BYTES):
         found = _words(buf, off).binary().cast(pa.binary()).value_counts()
         yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(off) - 1], pa.int64())], ["word", "n"])
@@ -106,24 +107,29 @@ def _tokens(buf: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> tuple[T
     one, two = np.ones(len(h), np.uint64), np.ones(len(h), np.uint64)
     one[1:] = np.where(doc[1:] == doc[:-1], h[:-1], 1)
     two[2:] = np.where(doc[2:] == doc[:-2], h[:-2], 1)
-    rows = np.zeros((FEATURES, len(h)), np.int64)
+    rows = np.zeros((FEATURES, len(h)), np.uint16)
     for k, f in enumerate((one + np.uint64(11), two + np.uint64(23), one * np.uint64(3) + two * np.uint64(7) + np.uint64(37)), 1):
-        rows[k] = (text.mix(f) >> np.uint64(50)).astype(np.int64) % HASHED
+        rows[k] = text.mix(f) >> np.uint64(64 - HASHED_BITS)
     return Tokens(doc, word, target, rows), entries, place
 
 
 def _within(rows: np.ndarray, class_: np.ndarray) -> np.ndarray:
     """Weight rows of the second factor."""
-    return (rows * 40503 + class_[None] * 7919 + 12345) * 2654435761 % (1 << 32) % HASHED
+    x = rows.astype(np.uint32) * np.uint32(40503) + class_.astype(np.uint32)[None] * np.uint32(7919) + np.uint32(12345)
+    return (x * np.uint32(2654435761) >> np.uint32(32 - HASHED_BITS)).astype(np.uint16)
+
+
+ONES = np.ones(CLASSES, np.float32)
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(1, keepdims=True)
+    z = weights.take(rows[1], 0)
+    z += weights[rows[0, 0]] if rows[0, 0] == rows[0, -1] and (rows[0] == rows[0, 0]).all() else weights.take(rows[0], 0)
+    for r in rows[2:]:
+        z += weights.take(r, 0)
+    np.minimum(z, 80, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / (z @ ONES))[:, None]
     return z
 
 
@@ -132,13 +138,14 @@ def _update(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, rows: np
     g = _softmax(weights, rows)
     g[np.arange(len(want)), want] -= 1
     for r in rows:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r, kind="stable")  # 16 bits: a radix sort
         sorted_ = r[order]
         head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        total = np.add.reduceat(g[order], head)
         own = sorted_[head]
-        squares[own] += total * total
-        weights[own] -= RATE * total / np.sqrt(squares[own] + 1e-6)
+        total = np.add.reduceat(g.take(order, 0), head) if len(head) > 1 else (np.ones(len(g), np.float32) @ g)[None]
+        seen = squares[own] + total * total
+        squares[own] = seen
+        weights[own] -= RATE * total / np.sqrt(seen + 1e-6)
         uses[own] += np.diff(np.append(head, len(r)))
 
 
@@ -149,7 +156,7 @@ def _train(weights: np.ndarray, vocabulary):
         v = vocabulary.value
         w = weights.value.copy()
         squares, uses = np.zeros_like(w), np.zeros(HASHED, np.float32)
-        for _, buf, off in text.slices(batches):
+        for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t, _, _ = _tokens(buf, off, v)
             class_ = t.target // CLASSES
             for a in range(0, len(class_), BATCH):
@@ -189,7 +196,7 @@ def _score(weights, vocabulary):
         v, w = vocabulary.value, weights.value
         ends = pc.index_in(pa.scalar(END, pa.binary()), value_set=v.head).as_py()
         log_all, log_outside = np.log10(v.tokens + v.types + 1), np.log10(v.outside_tokens + v.outside_types + 1)
-        for rows, buf, off in text.slices(batches):
+        for rows, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t, entries, place = _tokens(buf, off, v)
             n_docs = len(off) - 1
             at = np.where(t.word >= 0, place[t.word] if len(place) else -1, -1 if ends is None else ends)
