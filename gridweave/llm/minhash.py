@@ -19,6 +19,14 @@ Links are confirmed on full sets: first the most frequent link of each document,
 then what still runs between different components.  Confirmed links make the
 components.
 
+A bucket whose members are then in more than one component is open, and all its
+pairs of different components are looked at: open buckets are cut into units of
+about UNIT rows, and each two units meet in one task.  A bit map of each set (the
+parity of the shingles in each bit) bounds a pair's difference from below, so it
+parts the pairs that surely are not similar without loss; the others are confirmed
+on full sets.  So every pair that shares a table is in one component or known to
+be no link.
+
 Defined results: texts that are null or have no words are linked with nothing
 and are components of their own (n_shingles 0); repeated rows are copies and
 each keeps its row; rows with a null id are left out; an empty table gives no
@@ -42,6 +50,8 @@ SHINGLE = 5
 PERCENT = 75
 M = 10
 ROWS = 2
+#: Rows of an open bucket that meet others at once, and the bits of a set's map at most.
+UNIT, MOST_BITS = 1000, 1 << 16
 _RNG = np.random.Generator(np.random.PCG64(75))
 _ODD = _RNG.integers(1, 2**63, (2 * M * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 _TABLE = text.mix(np.arange(1, M * M + 1, dtype=np.uint64))
@@ -122,6 +132,12 @@ def star_links(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, whole: bool) -
     return a[differ], b[differ], head
 
 
+def table_keys(band: np.ndarray) -> np.ndarray:
+    """The M * M table keys of each row of bands, one row after the other."""
+    f, g = band[:, :M, None], band[:, None, M:]
+    return text.mix((f * np.uint64(0x9E3779B97F4A7C15) + g) ^ _TABLE.reshape(1, M, M)).reshape(-1).view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets (key, sub, doc), and links (any key; doc and other)."""
     for batch in batches:
@@ -129,8 +145,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(at, 4000)
             doc = rows.column(0).to_numpy()
             band = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint64).reshape(-1, 2 * M)
-            f, g = band[:, :M, None], band[:, None, M:]
-            key = text.mix((f * np.uint64(0x9E3779B97F4A7C15) + g) ^ _TABLE.reshape(1, M, M)).reshape(-1).view(np.int64)
+            key = table_keys(band)
             sub = np.broadcast_to(np.roll(band[:, M:], -1, 1)[:, None, :], (len(doc), M, M)).reshape(-1)
             sub = (sub >> np.uint64(32)).astype(np.uint32).view(np.int32)
             each = np.repeat(doc, M * M)
@@ -206,6 +221,126 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long")
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document in all its tables."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            rows = batch.slice(at, 1000)
+            band = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(-1, 2 * M)
+            each = pa.array(np.repeat(np.arange(rows.num_rows), M * M))
+            yield pa.RecordBatch.from_arrays([pa.array(table_keys(band)), rows.column(0).take(each), rows.column(1).take(each)], ["key", "doc", "comp"])
+
+
+def bit_map(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of the shingles falls on each bit; bits are their last ones, twice as many as shingles or more."""
+    width = min(MOST_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    return np.packbits((np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, buf, off in text.slices(batches):
+        sets, ptr = shingle_sets(buf, off)
+        maps = [bit_map(sets[a:b]) if b > a else b"" for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(ptr)), pa.array(maps, pa.binary())], ["doc", "n", "bits"])
+
+
+def close_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components that may be similar, and the difference that their maps show.
+
+    side: rows of 0 meet those of 1, and rows of 2 each other.
+    """
+    width = np.array([len(b) for b in bits], np.int64)
+    found = [(doc[:0], doc[:0], n[:0])]
+    mixed = side == 2
+    for left, right, again in ((side == 0, side == 1, False), (mixed, mixed, True)):
+        for wide in np.unique(width[left]).tolist():
+            for other in np.unique(width[right]).tolist():
+                words = min(wide, other)
+                x, y = (np.flatnonzero(m & (width == w)) for m, w in ((left, wide), (right, other)))
+                x, y = x[np.argsort(comp[x], kind="stable")], y[np.argsort(comp[y], kind="stable")]
+                # the map of twice the bits, folded, is the map of the bits
+                mx, my = (np.bitwise_xor.reduce(np.frombuffer(b"".join(bits[i] for i in r.tolist()), np.uint64).reshape(len(r), -1, words // 8), 1) for r in (x, y))
+                cx, cy = comp[x], comp[y]
+                head = np.flatnonzero(_runs(cx))
+                for a, b in zip(head.tolist(), [*head[1:].tolist(), len(x)]):
+                    lo, hi = np.searchsorted(cy, cx[a], "left"), np.searchsorted(cy, cx[a], "right")
+                    pick = np.arange(hi, len(y)) if again else np.concatenate([np.arange(lo), np.arange(hi, len(y))])
+                    if not len(pick):
+                        continue
+                    ours, ny = my[pick], n[y[pick]]
+                    step = max(1, (1 << 20) // ours.size)
+                    for at in range(a, b, step):
+                        nx = n[x[at : min(b, at + step)], None]
+                        gap = np.bitwise_count(mx[at : min(b, at + step), None] ^ ours).sum(2, dtype=np.int64)
+                        ok = (gap * (100 + percent) <= (nx + ny) * (100 - percent)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+                        i, j = np.nonzero(ok)
+                        found.append((doc[x[at + i]], doc[y[pick[j]]], gap[i, j]))
+    a, b, gap = (np.concatenate(f) for f in zip(*found))
+    return np.minimum(a, b), np.maximum(a, b), gap
+
+
+def _close(percent: int):
+    """close_pairs of each group of sorted rows; a group may run on over batches."""
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        columns = [t.column(c).to_numpy() for c in ("doc", "comp", "n")]
+        out = close_pairs(*columns, t.column("bits").to_pylist(), t.column("side").to_numpy(), percent)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "gap"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            head = np.flatnonzero(_runs(group)).tolist()
+            for a, b in zip(head, [*head[1:], batch.num_rows]):
+                if held and held[0].column(0)[0].as_py() != group[a]:
+                    yield told(pa.concat_tables(held))
+                    held = []
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if held:
+            yield told(pa.concat_tables(held))
+
+    return run
+
+
+def crossing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) between different components, with these as c_a and c_b."""
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b")).filter("c_a <> c_b")
+
+
+def open_pairs(links: DataFrame, groups: DataFrame, chosen: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b, gap: all pairs of open buckets that may be similar.
+
+    links tie the members of each bucket together, so a bucket is open only if one
+    of them runs between components, and each of its components has an end of such.
+    """
+    ends = crossing(links, groups).select(F.explode(F.array("c_a", "c_b")).alias("comp")).distinct()
+    loose = chosen.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).join(ends, "comp", "left_semi")
+    loose = scratch.keep(loose.select(F.col("doc_id").alias("doc"), "comp", "bands"), "loose")
+    rows = loose.mapInArrow(_tables, "key long, doc long, comp long")
+    counts = scratch.keep(rows.groupBy("key", "comp").agg(F.count("*").alias("own")), "counts")
+    open_ = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("own").alias("all")).filter("parts > 1")
+    # a unit is a part of one large component, or of all the small ones of a bucket
+    large = F.col("own") > UNIT
+    part = lambda of, size: F.pmod(F.xxhash64(of), F.ceil(F.col(size) / UNIT))
+    unit = F.struct(large.alias("large"), F.when(large, F.col("comp")).otherwise(F.lit(0)).alias("of"), F.when(large, part("doc", "own")).otherwise(part("comp", "all")).alias("part"))
+    members = rows.join(counts.join(open_, "key"), ["key", "comp"]).select("key", "doc", "comp", unit.alias("unit"))
+    members = scratch.keep(members, "members")
+    units = members.select("key", "unit").distinct()
+    meet = units.withColumnRenamed("unit", "p").join(units.withColumnRenamed("unit", "q"), "key").filter("p <= q and not (p.large and q.large and p.of = q.of)")
+    meet = scratch.keep(meet.withColumn("group", F.xxhash64("key", "p", "q")), "meet")
+    first = members.join(meet.withColumn("unit", F.col("p")), ["key", "unit"]).withColumn("side", F.when(F.col("p") == F.col("q"), 2).otherwise(0))
+    last = members.join(meet.filter("p <> q").withColumn("unit", F.col("q")), ["key", "unit"]).withColumn("side", F.lit(1))
+    maps = scratch.keep(Members(members.select("doc").distinct(), "doc").through(texts, "doc_id", _bits, "doc long, n long, bits binary").dropDuplicates(["doc"]), "maps")
+    met = first.unionByName(last).select("group", "doc", "comp", "side").join(maps, "doc").select("group", "doc", "comp", "side", "n", "bits")
+    close = met.repartition("group").sortWithinPartitions("group").mapInArrow(_close(percent), "a long, b long, gap long")
+    close = scratch.keep(close.distinct(), "close")
+    scratch.drop("loose", "counts", "members", "meet", "maps")
+    return close
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -217,21 +352,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = chosen.select("doc_id", "bands").mapInArrow(_keys, "key long, sub int, doc long, other long")
     linked = keyed.repartition("key").sortWithinPartitions("key", "sub", "doc").mapInArrow(_links, "a long, b long, n long")
     sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("size_a"))
-    links = scratch.keep(linked.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
-    links = links.join(sizes, "a").join(sizes.toDF("b", "size_b"), "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    linked = scratch.keep(linked.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
+    links = linked.join(sizes, "a").join(sizes.toDF("b", "size_b"), "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     links = scratch.keep(links.select("a", "b", "n"), "sized")
-    scratch.drop("links")
     ends = Members(links.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
     sets = scratch.keep(ends.through(texts, "doc_id", _sets, "doc long, set binary"), "sets")
     best = links.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    first = scratch.keep(confirmed(best.select("a", "b"), sets, percent), "first")
-    groups = components(first, scratch=Scratch(docs.sparkSession, "minhash-first"))
-    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    open_ = links.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    found = scratch.keep(confirmed(best.select("a", "b"), sets, percent), "first")
+    groups = components(found, scratch=Scratch(docs.sparkSession, "minhash-first"))
     tried = best.select("a", "b")
-    second = scratch.keep(confirmed(open_.select("a", "b").join(tried, ["a", "b"], "left_anti"), sets, percent), "second")
-    groups = scratch.keep(components(first.unionByName(second), scratch=Scratch(docs.sparkSession, "minhash-second")), "groups")
-    scratch.drop("sized", "sets", "first", "second")
+    second = crossing(links, groups).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    found = found.unionByName(scratch.keep(confirmed(second, sets, percent), "second"))
+    groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-second")), "groups-2")
+    # all links were tried or lie within a component; what is left are pairs of open buckets without a link
+    close = open_pairs(linked, groups, chosen, texts, percent, scratch).join(links.select("a", "b"), ["a", "b"], "left_anti")
+    close = scratch.keep(close, "unlinked")
+    if not close.isEmpty():
+        ends = Members(close.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
+        sets = scratch.keep(ends.through(texts, "doc_id", _sets, "doc long, set binary").dropDuplicates(["doc"]), "close-sets")
+        # the closest pair of each two components, then all pairs that still run between different ones
+        nearest = crossing(close, groups).groupBy(F.least("c_a", "c_b").alias("c"), F.greatest("c_a", "c_b").alias("d")).agg(F.min_by(F.struct("a", "b"), F.struct("gap", "a", "b")).alias("pair"))
+        third = scratch.keep(nearest.select("pair.a", "pair.b"), "nearest")
+        found = found.unionByName(scratch.keep(confirmed(third, sets, percent), "third"))
+        groups = components(found, scratch=Scratch(docs.sparkSession, "minhash-third"))
+        fourth = crossing(close, groups).select("a", "b").join(third, ["a", "b"], "left_anti")
+        found = found.unionByName(scratch.keep(confirmed(fourth, sets, percent), "fourth"))
+        groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-fourth")), "groups")
+    scratch.drop("links", "sized", "sets", "close", "unlinked", "close-sets", "nearest", "first", "second", "third", "fourth")
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
     told = sketched.select("doc_id", "n", "p1", "p2").join(named, ["p1", "p2", "n"], "left")
     out = told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -100,6 +100,59 @@ def test_bands_find_near_copies():
     assert missed <= 3
 
 
+def test_minhash_finds_pairs_of_a_loose_family(spark):
+    """Every pair that shares a table is found, though its bucket's first member is like neither."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(200):
+        own = list(base)
+        for k in r.sample(range(400), 8):
+            own[k] = f"own{i}"
+        twin = list(own)
+        for k in r.sample(range(400), 9):
+            twin[k] = f"twin{i}"
+        texts += [" ".join(own), " ".join(twin)]
+    r.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    flat = [np.array(sorted(zlib.crc32(" ".join(s).encode()) for s in x), np.uint64) for x in sets]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    band = minhash.sketches(*minhash.shingle_sets(buf, np.cumsum([0, *map(len, texts)])))
+    want = list(range(len(texts)))
+
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            same = band[i] == band[j]
+            if same[: minhash.M].any() and same[minhash.M :].any():
+                common = len(np.intersect1d(flat[i], flat[j]))
+                if 100 * common >= 75 * (len(flat[i]) + len(flat[j]) - common):
+                    a, b = find(i), find(j)
+                    want[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert len({find(i) for i in want}) > 100
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_bit_maps_lose_no_similar_pair():
+    r = np.random.default_rng(6)
+    for size in (1, 5, 40, 700, 50_000):
+        pool = r.integers(0, 2**63, size + size // 7 + 1, dtype=np.uint64)
+        sets = [pool[:size], pool[size // 7 :][:size], r.permutation(pool)[:size]]
+        n = np.array([len(s) for s in sets])
+        for side in (np.array([2, 2, 2]), np.array([0, 1, 1])):
+            a, b, _ = minhash.close_pairs(np.arange(3), np.arange(3), n, [minhash.bit_map(s) for s in sets], side, 75)
+            got = set(zip(a.tolist(), b.tolist()))
+            for i, j in ((0, 1), (0, 2), *([(1, 2)] if side[0] == 2 else [])):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                assert 100 * common < 75 * (n[i] + n[j] - common) or (i, j) in got
+
+
 def test_bpe(docs, rows, empty):
     from tokenizers import Tokenizer
 
