@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """base, with underscores after it as long as columns (in any case) have that name."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 class Scratch:
     """A folder of tables for one run of one operator; gone when the JVM ends."""
 
