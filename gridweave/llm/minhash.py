@@ -341,10 +341,10 @@ def open_pairs(links: DataFrame, groups: DataFrame, chosen: DataFrame, texts: Da
     return close
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document; key names the column of ids."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull())
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     sketched = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, n long, p1 long, p2 long, bands binary"), "sketched")
     some = sketched.filter("n > 0")
     classes = scratch.keep(some.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep")), "classes")

@@ -6,14 +6,14 @@ held there and its excess is shared anew by weight, until none exceeds.  That
 fixed point is a water level: target = min(cap * size, level * weight).
 
 A source then takes every document floor(target / size) times and once more the
-documents that come first in a seeded hash order, up to the rest of its target
-(within half a document).  The order is summed in two steps, over 4096 ranges of
+documents that come first in a seeded hash order of id and text, up to the rest of
+its target (within half a document).  The order is summed in two steps, over 4096 ranges of
 the hash and inside each range, so no task holds a whole source.
 
 Defined results: a null text has size 0; a null source is a source of its own;
 a source of size 0 has target 0 and takes nothing; a null id is ordered as the
 empty string; repeated rows are taken one by one; an empty table gives no rows.
-Only doc_id, source and text are read, so other columns cannot clash.
+Only doc_id, source, text and the columns to carry are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -50,11 +50,17 @@ def water_level(sources: DataFrame, cap: int) -> float:
         level = new
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, times for each document."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, times for each document.
+
+    carry: a column of docs that goes along as `carried`, to tell rows of one id apart.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = scratch.keep(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("turn", order), "sized")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    along = [F.col(carry).alias("carried")] if carry else []
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("turn"), *along)
+    sized = scratch.keep(sized, "sized")
+    along = ["carried"] if carry else []
     sources = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source", scratch)
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     sources = scratch.keep(sources.withColumn("weight", weight.cast("long")), "sources")
@@ -66,16 +72,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("words"))
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("rank").orderBy("range")) - F.col("words"))
     rows = rows.join(before.select("rank", "range", "before"), ["rank", "range"])
-    within = F.sum("size").over(Window.partitionBy("rank", "range").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("rank", "range").orderBy("turn", "doc_id", "size", *along).rowsBetween(Window.unboundedPreceding, 0))
     upto = F.col("before") + within  # words up to and with this document
     extra = F.when(2 * upto - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
     times = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.col("whole"))
-    return rows.withColumn("times", times.cast("long")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    return rows.withColumn("times", times.cast("long")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *along)
 
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS turn
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS turn
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::BIGINT AS weight

@@ -1,32 +1,41 @@
 """Operator 7: passages that repeat across documents, by sparse suffix arrays.
 
 Suffixes are kept only where the content selects them: at words whose SEED-word
-hash is the least of some SPREAD consecutive ones.  Any passage of
-SEED + SPREAD - 1 = 50 words has such a word at the same place in every
-document that holds it, and that far into the passage at most.
+hash is the least of some SPREAD consecutive ones.  A passage of
+SEED + SPREAD - 1 = MIN_WORDS words has SPREAD seeds, and the leftmost least one
+of them is selected in every document that holds the passage.  So each window of
+MIN_WORDS words belongs to one suffix, which sees it as `a` words left of its
+seed and SIDE - a words right of it.
 
 1. Every text gives its selected positions.  Seeds that only one content has are
    dropped; texts that are whole copies of another stand back behind the
-   smallest id of their class and are reported whole.
-2. Each remaining suffix carries SIDE words to its right and SIDE to its left.
-   Suffixes are sorted by seed and right side, and once more, mirrored, by seed
-   and left side; the first 12 words of the sorted side are part of the
-   partition key, so a hot seed spreads over the tasks.
-3. Neighbours of different documents are compared: their match is the seed
-   extended left and right as far as the words agree, and it counts with
-   MIN_WORDS or more.  Adjacent matches of one run share their smallest id.
-   Suffixes that agree in the whole sorted side are matched where they are made,
-   and only the first of them goes on to the sort.
-4. The matches of a document are joined to maximal spans.  Successive selected
-   words lie so close that spans of any length are covered to their exact ends.
+   smallest id of their class.
+2. Each remaining suffix carries as many words on either side of its seed as its
+   own windows reach.  Suffixes of one slice with equal sides travel as one row
+   with their documents and places.
+3. The suffixes of a seed are sorted by their right side, neighbours are compared
+   (the words they share), and for each a the runs that share SIDE - a words or
+   more are parted by their a words to the left.  What stays together holds the
+   same window: its least and greatest document tell whether it repeats, and
+   which document has it first.
+4. Seeds with more than GROUP suffixes are not held in one task: their rows meet
+   by the hash of each window, with the least and greatest document summed before
+   the shuffle, and the answer is joined back to the rows.
+5. Windows are joined to spans of any length, and these are parted where the
+   first holder changes.
+
+The result is the same as of comparing all windows of MIN_WORDS words of all
+texts: a word is in a span if it lies in a window that another document has too,
+and a window's first holder keeps all of its words, so no passage is lost when
+the other pieces are cut.
 
 Words are compared as they stand, by hashes.  A match needs two different ids.
 
 Defined results: null, empty and short texts have no spans; rows with a null id
-are left out; repeated rows of one id are one document; an empty table gives no
-rows.  In texts that repeat one phrase over and over, suffixes of equal sides
-count once, so such a span may be reported shorter than it is.  spans() reads
-doc_id and text alone; cut_repeats() keeps all columns.
+are left out; rows of one id are one document (they do not match each other; if
+their texts differ, places refer to either); ties do not arise, as the first
+holder is the smallest id; an empty table gives no rows.  spans() reads the id
+and text alone; cut_repeats() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,18 +45,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import text
-from gridweave.sources.scratch import Scratch
+from gridweave.sources.scratch import Scratch, free_name
 
 MIN_WORDS = 50
 SEED = 25
 SPREAD = MIN_WORDS - SEED + 1
-SIDE = SPREAD
-#: Rows of one partition key that are held at once, and how many of them the next rows still see.
-HELD, OVERLAP = 200_000, 1000
+SIDE = SPREAD - 1
+#: Suffixes of one seed that a task holds at once.
+GROUP = 1 << 16
+#: A seed with more than this part of all positions is joined without a shuffle; so there are at most this many.
+SHARE = 20_000
+#: Positions whose sides are laid out at once.
+POSITIONS = 1 << 15
 LAST = np.uint64(2**64 - 1)
+STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _over(x: np.ndarray, n: int, fold: np.ufunc) -> np.ndarray:
@@ -111,196 +125,311 @@ def _packed(codes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer((np.arange(len(codes) + 1) * width).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _hash_rows(start: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    out = start.copy()
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, .. words of each row of codes."""
+    out = np.zeros((codes.shape[1] + 1, len(codes)), np.uint64)
     for k in range(codes.shape[1]):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + codes[:, k].astype(np.uint64)
-    return text.mix(out)
+        out[k + 1] = out[k] * STEP + codes[:, k]
+    return out
 
 
-CONTEXT = "key long, side int, near binary, far binary, near_n int, far_n int, doc long, at int, start int, stop int, first long"
+SIDES = "key long, near binary, far binary, near_n int, far_n int, docs array<long>, ats array<int>"
+WINDOWS = "key long, lo long, hi long, wins array<long>, docs array<long>, ats array<int>"
+MATCHES = "doc long, start int, stop int, first long"
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix rows for both sorts, and (with side 2) matches found within the slice.
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-    near: the words of the sorted side, outward from the seed; far: the other's.
-    """
-    for rows, buf, off in text.slices(batches):
-        w, hashes = _hashed(buf, off)
-        lists = rows.column(2)
-        per = np.diff(np.asarray(lists.offsets))
-        owner = np.repeat(np.arange(len(off) - 1), per)
-        local = lists.flatten().to_numpy().astype(np.int64)
-        at = local + w.ptr[owner]
-        doc = rows.column(0).to_numpy()[owner]
-        seed = text.windows(hashes, SEED)[at] if len(at) else np.zeros(0, np.uint64)
-        code = np.concatenate([(hashes >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.uint32)])
-        n_left, n_right = np.minimum(local, SIDE), np.minimum(w.ptr[owner + 1] - at - SEED, SIDE)
-        k = np.arange(SIDE)
-        right = np.where(k < n_right[:, None], code[np.minimum(at[:, None] + SEED + k, len(hashes))], 0)
-        left = np.where(k < n_left[:, None], code[np.maximum(at[:, None] - 1 - k, 0)], 0)
-        sides = ((0, right, left, n_right, n_left), (1, left, right, n_left, n_right))
-        for side, near, far, near_n, far_n in sides:
-            alike = _hash_rows(seed + np.uint64(side), near)
-            order = np.lexsort((doc, *(far[:, c].astype(np.uint64) << np.uint64(32) | far[:, c + 1] for c in (2, 0)), alike))
-            a, d = alike[order], doc[order]
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            head = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            first, last = (f.reduceat(d, head) if len(d) else d for f in (np.minimum, np.maximum))
-            whole = near_n[order] == SIDE
-            hit = np.flatnonzero((first != last)[run] & whole) if len(d) else head
-            i = order[hit]
-            reach = np.zeros(len(order), np.int64)  # words of the far side that a neighbour shares
-            x = np.flatnonzero(~new & whole)
-            x = x[d[x] != d[x - 1]]
-            share = _agree(far, far_n, order[x], order[x - 1])
-            reach[x] = share
-            np.maximum.at(reach, x - 1, share)
-            lo = local[i] - (SIDE if side else reach[hit])
-            hi = local[i] + SEED + (reach[hit] if side else SIDE)
-            none = pa.nulls(len(i), pa.binary())
-            zero = pa.array(np.zeros(len(i), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(np.full(len(i), 2, np.int32)), none, none, zero, zero, pa.array(doc[i]), zero, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(first[run[hit]])], CONTEXT_NAMES)
-            i = order[new | ~whole]
-            zero = pa.array(np.zeros(len(i), np.int32))
-            key = _hash_rows(seed[i] + np.uint64(side), near[i][:, :12])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.full(len(i), side, np.int32)), _packed(near[i]), _packed(far[i]), pa.array(near_n[i].astype(np.int32)), pa.array(far_n[i].astype(np.int32)), pa.array(doc[i]), pa.array(local[i].astype(np.int32)), zero, zero, pa.array(doc[i])],
-                CONTEXT_NAMES,
-            )
-
-
-CONTEXT_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
-
-
-def _agree(codes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many words rows i and j share from the start."""
-    differ = codes[i] != codes[j]
-    same = np.where(differ.any(1), differ.argmax(1), SIDE)
-    return np.minimum(same, np.minimum(n[i], n[j]))
+
+def _contexts(hot: bool):
+    """Rows of suffixes with equal sides: their sides, or (hot) the hashes of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in text.slices(batches):
+            w, hashes = _hashed(buf, off)
+            lists = rows.column(2)
+            owner = np.repeat(np.arange(len(off) - 1), np.diff(np.asarray(lists.offsets)))
+            local = lists.flatten().to_numpy().astype(np.int64)
+            n = np.diff(w.ptr)
+            fits = local + SEED <= n[owner]  # another text of this id may be longer
+            owner, local = owner[fits], local[fits]
+            if not len(local):
+                continue
+            ids = rows.column(0).to_numpy()
+            seeds = text.windows(hashes, SEED)
+            code = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)
+            k = np.arange(SIDE)
+            for a in range(0, len(local), POSITIONS):
+                own, place = owner[a : a + POSITIONS], local[a : a + POSITIONS]
+                at = place + w.ptr[own]
+                seed = seeds[at]
+                # how far the seed is the leftmost least one
+                n_left, n_right = np.minimum(place, SIDE), np.minimum(n[own] - place - SEED, SIDE)
+                before, after = np.maximum(at[:, None] - 1 - k, 0), np.minimum(at[:, None] + 1 + k, len(seeds) - 1)
+                stop = (seeds[before] <= seed[:, None]) | (k >= n_left[:, None])
+                n_left = np.where(stop.any(1), stop.argmax(1), SIDE)
+                stop = (seeds[after] < seed[:, None]) | (k >= n_right[:, None])
+                n_right = np.where(stop.any(1), stop.argmax(1), SIDE)
+                use = n_left + n_right >= SIDE
+                own, place, at, seed, n_left, n_right = (x[use] for x in (own, place, at, seed, n_left, n_right))
+                right = np.where(k < n_right[:, None], code[np.minimum(at[:, None] + SEED + k, len(code) - 1)], 0)
+                left = np.where(k < n_left[:, None], code[np.maximum(at[:, None] - 1 - k, 0)], 0)
+                hr, hl = _prefixes(right), _prefixes(left)
+                digest = text.mix(seed + text.mix(hr[SIDE] + text.mix(hl[SIDE])) + (n_left * 64 + n_right).astype(np.uint64))
+                doc = ids[own]
+                order = np.lexsort((place, doc, digest))
+                new = np.ones(len(order), bool)
+                new[1:] = digest[order][1:] != digest[order][:-1]
+                head = np.flatnonzero(new)
+                if not len(head):
+                    continue
+                i = order[head]
+                offsets = pa.array(np.append(head, len(order)).astype(np.int32))
+                docs, ats = doc[order], place[order].astype(np.int32)
+                members = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (docs, ats)]
+                if hot:
+                    split = np.arange(SIDE + 1)[:, None]
+                    wins = text.mix(seed[i] + text.mix(hr[::-1][:, i] + STEP * text.mix(hl[:, i])))
+                    ok = (split <= n_left[i]) & (SIDE - split <= n_right[i])
+                    flat = pa.array(wins.T.reshape(-1).view(np.int64), mask=~ok.T.reshape(-1))
+                    lists_ = pa.ListArray.from_arrays(pa.array((np.arange(len(i) + 1) * (SIDE + 1)).astype(np.int32)), flat)
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[i].view(np.int64)), pa.array(docs[head]), pa.array(docs[np.append(head[1:], len(order)) - 1]), lists_, *members], _names(WINDOWS))
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(seed[i].view(np.int64)), _packed(right[i]), _packed(left[i]), pa.array(n_right[i].astype(np.int32)), pa.array(n_left[i].astype(np.int32)), *members], _names(SIDES))
+
+    return run
+
+
+def _told(hit: np.ndarray, first: np.ndarray, docs: pa.ListArray, ats: pa.ListArray) -> pa.RecordBatch:
+    """Matches from the windows [split, row] that repeat and their first holders, for all members of the rows."""
+    hit, first = np.ascontiguousarray(hit.T), np.ascontiguousarray(first.T)
+    same = hit[:, 1:] & hit[:, :-1] & (first[:, 1:] == first[:, :-1])
+    edge = np.zeros((len(hit), 1), bool)
+    begin, end = hit & ~np.concatenate([edge, same], 1), hit & ~np.concatenate([same, edge], 1)
+    row, low = np.nonzero(begin)
+    high = np.nonzero(end)[1]
+    offsets = np.asarray(docs.offsets).astype(np.int64)
+    offsets = offsets - offsets[0]
+    n = np.diff(offsets)[row]
+    which = np.repeat(np.arange(len(row)), n)
+    member = offsets[row][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    doc, at = docs.flatten().to_numpy()[member], ats.flatten().to_numpy()[member]
+    start, stop, holder = at - high[which], at - low[which] + MIN_WORDS, first[row, low][which]
+    # members of a row are sorted, so overlapping places of one document follow each other
+    new = np.ones(len(doc), bool)
+    new[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(doc)) - 1 if len(doc) else head
+    return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(start[head].astype(np.int32)), pa.array(stop[tail].astype(np.int32)), pa.array(holder[head])], _names(MATCHES))
 
 
 def _compare(t: pa.Table) -> pa.RecordBatch:
-    """Matches of sorted suffixes with their nearest neighbours of other documents."""
-    key, side, doc, at = (t.column(c).to_numpy() for c in ("key", "side", "doc", "at"))
-    near, far = (np.frombuffer(b"".join(t.column(c).to_pylist()), ">u4").reshape(-1, SIDE) for c in ("near", "far"))
+    """Matches of the suffixes of whole seeds, sorted by seed and right side."""
+    t = t.combine_chunks()
+    key = t.column("key").to_numpy()
+    near, far = (np.frombuffer(b"".join(t.column(c).to_pylist()), ">u4").reshape(-1, SIDE).astype(np.uint32) for c in ("near", "far"))
     near_n, far_n = (t.column(c).to_numpy() for c in ("near_n", "far_n"))
+    docs, ats = (pa.concat_arrays(t.column(c).chunks) for c in ("docs", "ats"))
+    offsets = np.asarray(docs.offsets)
+    lists = docs.flatten().to_numpy()
+    lo, hi = lists[offsets[:-1] - offsets[0]], lists[offsets[1:] - offsets[0] - 1]
     n = len(key)
-    new = np.ones(n, bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    head = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    before, after = head[run] - 1, np.append(head[1:], n)[run]
-    i = np.arange(n)
-    found = []
-    for j in (before, after):
-        ok = (j >= 0) & (j < n)
-        ok[ok] = key[i[ok]] == key[j[ok]]
-        x, y = i[ok], j[ok]
-        a, b = _agree(near, near_n, x, y), _agree(far, far_n, x, y)
-        hit = a + b + SEED >= MIN_WORDS
-        found.append((x[hit], y[hit], a[hit], b[hit]))
-    x, y, a, b = (np.concatenate(f) for f in zip(*found))
-    joint = np.zeros(n, bool)  # row i matches row i - 1
-    x1, y1 = i[1:], i[:-1]
-    same = key[x1] == key[y1]
-    joint[1:][same] = _agree(near, near_n, x1[same], y1[same]) + _agree(far, far_n, x1[same], y1[same]) + SEED >= MIN_WORDS
-    group = np.flatnonzero(~joint)
-    least = np.minimum.reduceat(doc, group)[np.cumsum(~joint) - 1]
-    left, right = np.where(side[x] == 1, a, b), np.where(side[x] == 1, b, a)
-    return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array((at[x] - left).astype(np.int32)), pa.array((at[x] + SEED + right).astype(np.int32)), pa.array(np.minimum(least[x], np.minimum(doc[x], doc[y])))], ["doc", "start", "stop", "first"])
+    differ = near[1:] != near[:-1]
+    share = np.where(differ.any(1), differ.argmax(1), SIDE)  # words that neighbours share
+    share = np.minimum(share, np.minimum(near_n[1:], near_n[:-1]))
+    share = np.concatenate([[-1], np.where(key[1:] == key[:-1], share, -1)])
+    left = _prefixes(far)
+    hit, first = np.zeros((SIDE + 1, n), bool), np.zeros((SIDE + 1, n), np.int64)
+    for a in range(SIDE + 1):
+        rows = np.flatnonzero((far_n >= a) & (near_n >= SIDE - a))
+        if not len(rows):
+            continue
+        run = np.cumsum(share < SIDE - a)[rows].astype(np.uint64)
+        group = text.mix(left[a, rows] + text.mix(run))
+        order = np.argsort(group, kind="stable")
+        g = group[order]
+        head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(np.append(head, len(g)))
+        least, most = np.minimum.reduceat(lo[rows[order]], head), np.maximum.reduceat(hi[rows[order]], head)
+        hit[a, rows[order]] = np.repeat(least != most, size)
+        first[a, rows[order]] = np.repeat(least, size)
+    return _told(hit, first, docs, ats)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_compare of sorted rows, some whole seeds at once."""
     held: list[pa.Table] = []
     for batch in batches:
-        ready = batch.filter(pc.equal(batch.column(1), 2))
-        yield ready.select(["doc", "start", "stop", "first"])
-        rest = pa.Table.from_batches([batch.filter(pc.not_equal(batch.column(1), 2))])
-        if not rest.num_rows:
+        if not batch.num_rows:
             continue
-        all_ = pa.concat_tables([*held, rest]).combine_chunks()
-        key = all_.column("key").to_numpy()
-        open_ = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        if open_:
-            yield _compare(all_.slice(0, open_))
-        held = [all_.slice(open_)]
-        if held[0].num_rows > HELD:
-            yield _compare(held[0])
-            held = [held[0].slice(held[0].num_rows - OVERLAP)]
-    if held and held[0].num_rows:
-        yield _compare(held[0])
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, first_doc_id, kept: the maximal repeated spans of each document.
-
-    Words count from 0, end_word is exclusive.  kept: no document of a smaller id
-    is known to hold the passage.
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last seed may go on
+        if held and (cut or held[0].column(0)[0].as_py() != key[-1]):
+            held.append(pa.Table.from_batches([batch.slice(0, cut)]))
+            yield _compare(pa.concat_tables(held))
+            held = []
+        elif cut:
+            yield _compare(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(pa.Table.from_batches([batch.slice(cut)]))
+    if held:
+        yield _compare(pa.concat_tables(held))
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of rows of a hot seed from the splits that repeat and their first holders."""
+    for batch in batches:
+        answers = batch.column(0)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(answers.offsets)))
+        flat = answers.flatten()
+        hit, first = np.zeros((SIDE + 1, batch.num_rows), bool), np.zeros((SIDE + 1, batch.num_rows), np.int64)
+        split = flat.field(0).to_numpy()
+        hit[split, row] = True
+        first[split, row] = flat.field(1).to_numpy()
+        yield _told(hit, first, batch.column(1), batch.column(2))
+
+
+def _hot_matches(rows: DataFrame) -> DataFrame:
+    """Matches of the seeds that no task holds: rows meet by the hash of each window."""
+    windows = rows.select(F.explode("wins").alias("win"), "lo", "hi").filter("win is not null")
+    firsts = windows.groupBy("win").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first <> last").select("win", "first")
+    kinds = rows.groupBy("key").agg(F.first("wins").alias("wins")).select("key", F.posexplode("wins").alias("split", "win"))
+    answers = kinds.join(firsts, "win").groupBy("key").agg(F.collect_list(F.struct("split", "first")).alias("answers"))
+    return rows.join(answers, "key").select("answers", "docs", "ats").mapInArrow(_answered, MATCHES)
+
+
+def _own_windows(start: np.ndarray, stop: np.ndarray, first: np.ndarray, doc: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of the first of a class of n-word copies: windows that no older document has repeat in its copies alone."""
+    free = np.ones(n - MIN_WORDS + 1, bool)
+    older = first < doc
+    for a, b in zip(start[older].tolist(), stop[older].tolist()):
+        free[a : b - MIN_WORDS + 1] = False
+    flips = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+    a, b = flips[::2], flips[1::2] + MIN_WORDS - 1
+    return np.concatenate([start, a]), np.concatenate([stop, b]), np.concatenate([first, np.full(len(a), doc)])
+
+
+PIECES = "doc_id long, start_word int, end_word int, n_words int, first_doc_id long, kept boolean, span_start int, span_end int"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each document, parted where the first holder changes."""
+    for batch in batches:
+        lists = batch.column(1)
+        offsets = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
+        start, stop, first, whole = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            s, e, f, own = (x[offsets[i] : offsets[i + 1]] for x in (start, stop, first, whole))
+            own = own & (f == doc)
+            if own.any():
+                s, e, f = _own_windows(s[~own], e[~own], f[~own], doc, int(e[own].max()))
+            base = int(s.min())
+            size = int(e.max()) - base
+            # the smallest holder last, and what this document holds first after all
+            order = np.lexsort((-f, f == doc))
+            holder, covered = np.zeros(size, np.int64), np.zeros(size, bool)
+            for a, b, x in zip((s[order] - base).tolist(), (e[order] - base).tolist(), f[order].tolist()):
+                holder[a:b] = x
+                covered[a:b] = True
+            turn = np.ones(size, bool)
+            turn[1:] = (covered[1:] != covered[:-1]) | (holder[1:] != holder[:-1])
+            a = np.flatnonzero(turn)
+            b = np.append(a[1:], size)
+            flips = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+            a, b = a[covered[a]], b[covered[a]]
+            span = np.searchsorted(flips[::2], a, "right") - 1
+            for column, x in zip(out, (np.full(len(a), doc), a + base, b + base, holder[a], flips[::2][span] + base, flips[1::2][span] + base)):
+                column.append(x)
+        doc, a, b, holder, low, high = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+        columns = [doc, *(x.astype(np.int32) for x in (a, b, b - a)), holder, holder == doc, *(x.astype(np.int32) for x in (low, high))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(PIECES))
+
+
+def spans(docs: DataFrame, key: str = "doc_id", group: int = GROUP) -> DataFrame:
+    """doc_id, start_word, end_word, n_words, first_doc_id, kept, span_start, span_end: the repeated spans of each document.
+
+    Words count from 0, ends are exclusive.  span_start and span_end bound the
+    maximal span, which has MIN_WORDS or more; start_word and end_word the piece of
+    it that has this first holder.  kept: this document is the first holder.
+    group: suffixes of one seed above which it is dealt by windows.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull())
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     found = scratch.keep(texts.mapInArrow(_positions, "doc long, n_words long, d1 long, d2 long, at array<int>, seeds array<long>"), "found")
     classes = found.groupBy("d1", "d2", "n_words").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
-    copies = scratch.keep(found.select("doc", "n_words", "d1", "d2").join(classes, ["d1", "d2", "n_words"]).select("doc", "n_words", "first"), "copies")
+    copies = scratch.keep(found.select("doc", "n_words", "d1", "d2").join(classes, ["d1", "d2", "n_words"]).select("doc", F.col("n_words").cast("int").alias("n_words"), "first").distinct(), "copies")
     placed = found.select("doc", "d1", F.inline(F.arrays_zip("at", "seeds")))
-    shared = placed.groupBy("seeds").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("seeds")
-    hits = placed.select("doc", "at", "seeds").join(shared, "seeds", "left_semi").select("doc", "at")
-    hits = hits.join(copies.filter("doc <> first").select("doc"), "doc", "left_anti").distinct()
-    hits = scratch.keep(hits.groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("at")), "hits")
-    scratch.drop("found")
-    context = hits.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "text", "at").mapInArrow(_contexts, CONTEXT)
-    near = context.repartition("key").sortWithinPartitions("key", "near", "far", "doc").mapInArrow(_neighbours, "doc long, start int, stop int, first long")
-    whole = copies.select("doc", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"), "first")
-    matches = near.unionByName(whole).withColumn("kept", F.col("first") >= F.col("doc"))
-    order = Window.partitionBy("doc", "kept").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parted = matches.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    parted = parted.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = parted.groupBy("doc", "kept", "span").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("first").alias("first_doc_id"))
-    return joined.select(F.col("doc").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", "kept")
-
-
-def _cut(names: list[str], chars: str | None):
+    shared = placed.groupBy("seeds").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("seeds", (F.col("n") > group).alias("hot"), "n")
+    shared = scratch.keep(shared, "shared")
+    limit = max(group, (found.agg(F.sum(F.size("at"))).first()[0] or 0) // SHARE)
+    heavy = shared.filter(F.col("n") > limit).select("seeds", "hot")
+    hits = placed.select("doc", "at", "seeds")
+    if heavy.isEmpty():
+        hits = hits.join(shared.select("seeds", "hot"), "seeds")
+    else:  # SHARE rows at most
+        rest = hits.join(F.broadcast(heavy.select("seeds")), "seeds", "left_anti").join(shared.filter(F.col("n") <= limit).select("seeds", "hot"), "seeds")
+        hits = hits.join(F.broadcast(heavy), "seeds").unionByName(rest)
+    hits = hits.select("doc", "at", "hot").join(copies.filter("doc <> first").select("doc").distinct(), "doc", "left_anti").distinct()
+    each = lambda hot: F.array_sort(F.collect_list(F.when(F.col("hot") == hot, F.col("at"))))
+    hits = scratch.keep(hits.groupBy("doc").agg(each(False).alias("at"), each(True).alias("hot_at")), "hits")
+    sides = hits.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "text", "at").mapInArrow(_contexts(False), SIDES)
+    matches = sides.repartition("key").sortWithinPartitions("key", "near").mapInArrow(_neighbours, MATCHES)
+    if not shared.filter("hot").isEmpty():
+        rows = hits.filter(F.size("hot_at") > 0).join(texts, F.col("doc") == F.col("doc_id")).select("doc", "text", "hot_at").mapInArrow(_contexts(True), WINDOWS)
+        matches = matches.unionByName(_hot_matches(scratch.keep(rows, "windows")))
+    matches = scratch.keep(matches, "matches")
+    scratch.drop("found", "hits", "shared", "windows")
+    # copies repeat whole, and what their first has from others they have from there too
+    whole = copies.select("doc", F.lit(0).alias("start"), F.col("n_words").alias("stop"), "first", F.lit(True).alias("whole"))
+    older = matches.filter("first < doc").withColumnRenamed("doc", "rep")
+    passed = copies.filter("doc <> first").select("doc", F.col("first").alias("rep")).distinct().join(older, "rep").select("doc", "start", "stop", "first")
+    all_ = matches.unionByName(passed).withColumn("whole", F.lit(False)).unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "first", "whole")).alias("found"))
+    return all_.mapInArrow(_pieces, PIECES)
+
+
+def _cut(names: list[str], at: int, cuts_at: int, chars: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in text.slices(batches):
+        for rows, buf, off in text.slices(batches, column="text"):
             w = text.words(buf, off)
-            lists = rows.column(rows.schema.get_field_index("cut_spans")).to_pylist()
-            column = rows.column(rows.schema.get_field_index("text")).to_pylist()
+            lists = rows.column(cuts_at).to_pylist()
+            column = rows.column(at).to_pylist()
             keep = np.ones(len(lists), bool)
             for d, cuts in enumerate(lists):
                 if not cuts:
                     continue
-                parts, at = [], int(off[d])
-                left = int(w.ptr[d + 1] - w.ptr[d])
+                parts, begin = [], int(off[d])
+                left = n = int(w.ptr[d + 1] - w.ptr[d])
                 for cut in sorted(cuts, key=lambda c: c["start_word"]):
+                    if cut["end_word"] > n:  # a place in another text of this id
+                        continue
                     a, b = int(w.ptr[d]) + cut["start_word"], int(w.ptr[d]) + cut["end_word"]
-                    parts.append(buf[at : w.start[a]].tobytes())
-                    at = int(w.end[b - 1])
+                    parts.append(buf[begin : w.start[a]].tobytes())
+                    begin = int(w.end[b - 1])
                     left -= b - a
-                parts.append(buf[at : off[d + 1]].tobytes())
+                parts.append(buf[begin : off[d + 1]].tobytes())
                 column[d] = b"".join(parts).decode()
                 keep[d] = left > 0
-            out = [rows.column(rows.schema.get_field_index(c)) for c in names]
-            out[names.index("text")] = pa.array(column, pa.string())
+            out = rows.columns[: len(names)]
+            out[at] = pa.array(column, pa.string())
             if chars:
                 old = out[names.index(chars)]
-                size = pc.utf8_length(out[names.index("text")]).cast(old.type)
+                size = pc.utf8_length(out[at]).cast(old.type)
                 out[names.index(chars)] = pc.if_else(pa.array([bool(c) for c in lists], pa.bool_()), size, old)
             yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(keep))
 
     return run
 
 
-def cut_repeats(docs: DataFrame, chars: str | None = "n_chars") -> DataFrame:
+def cut_repeats(docs: DataFrame, key: str = "doc_id", chars: str | None = "n_chars") -> DataFrame:
     """docs without the passages that a document of a smaller id holds too.
 
-    Rows that lose all their words are left out; `chars`, if docs has such a
-    column, gets the new length of the texts that were cut.
+    Every repeated passage stays whole in its first holder, and words outside of
+    repeated passages stay.  Rows that lose all their words are left out; `chars`,
+    if docs has such a column, gets the new length of the texts that were cut.
+    Ids should be unique: rows of one id with different texts share their places.
     """
-    cuts = spans(docs).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cut_spans"))
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "cut_doc"), F.col("doc_id").cast("long") == F.col("cut_doc"), "left").select(*docs.columns, "cut_spans")
-    return joined.mapInArrow(_cut(docs.columns, chars if chars in docs.columns else None), docs.schema)
+    of, cuts_name = free_name(docs.columns, "cut_doc"), free_name(docs.columns, "cut_spans")
+    cuts = spans(docs, key).filter(~F.col("kept")).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cuts_name))
+    joined = docs.join(cuts, F.col(key).cast("long") == F.col(of), "left").select(*docs.columns, cuts_name)
+    return joined.mapInArrow(_cut(docs.columns, docs.columns.index("text"), len(docs.columns), chars if chars in docs.columns else None), docs.schema)

@@ -42,3 +42,42 @@ def test_pipeline(spark, tmp_path):
 def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+AWKWARD = SCHEMA + ", copy int, times int, row_number int, member int, cut_spans int, cut_doc int, kept_id int"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null ids, one id for different texts, repeated rows, null and empty texts, a long text, clashing names."""
+    text = dict((i, t) for i, t, *_ in corpus())
+    rows = [(7, text[0]), (7, text[1]), (None, text[2]), (None, text[2]), (None, text[4]), (8, text[5]), (8, text[5]), (9, None), (10, ""), (11, " ".join(f"{text[i]}" for i in range(20, 40)) * 5)]
+    return spark.createDataFrame([(i, t, "en", f"s{k % 2}" if k % 3 else None, len(t or ""), *[99] * 7) for k, (i, t) in enumerate(rows)], AWKWARD).repartition(2).cache()
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "repeats", "mixing"])
+def test_stages_take_awkward_rows(spark, awkward, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, awkward, "")
+    assert out.dtypes == awkward.dtypes
+    rows = out.collect()
+    assert all(tuple(r)[5:] == (99,) * 7 for r in rows)
+    texts = {r.text for r in rows}
+    whole = {r.text for r in awkward.collect() if r.text}
+    if name in ("quality", "near_dedup"):
+        repeated = max(whole, key=len)  # says everything five times
+        assert whole - ({repeated} if name == "quality" else set()) <= texts  # different texts under one id or none all stay
+    if name == "near_dedup":
+        assert len(rows) == 8  # of both pairs of copies one row
+    if name == "repeats":
+        assert sum(r.text is not None and len(r.text) > 0 for r in rows) == 6 and {9, 10} <= {r.doc_id for r in rows}
+    if name == "mixing":
+        assert texts <= whole | {None, ""}
+    empty = stage(spark, awkward.limit(0), "")
+    assert empty.dtypes == awkward.dtypes and empty.count() == 0
+
+
+def test_encoding_takes_awkward_rows(spark, awkward):
+    out = dict(corpus_pipeline.STAGES)["bpe"](spark, awkward, "")
+    assert out.count() == awkward.count() and out.filter("n_tokens = 0").count() == 2
+    assert dict(corpus_pipeline.STAGES)["bpe"](spark, awkward.limit(0), "").count() == 0
