@@ -55,7 +55,7 @@ SEED = 25
 SPREAD = MIN_WORDS - SEED + 1
 SIDE = SPREAD - 1
 #: Suffixes of one seed that a task holds at once.
-GROUP = 1 << 16
+GROUP = 1 << 14
 #: A seed with more than this part of all positions is joined without a shuffle; so there are at most this many.
 SHARE = 20_000
 #: Positions whose sides are laid out at once.
@@ -133,8 +133,8 @@ def _prefixes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-SIDES = "key long, near binary, far binary, near_n int, far_n int, docs array<long>, ats array<int>"
-WINDOWS = "key long, lo long, hi long, wins array<long>, docs array<long>, ats array<int>"
+#: Rows of either kind: sides with the seed as key, or (hot seeds) windows with a digest of all as key.
+CONTEXT = "key long, near binary, far binary, near_n int, far_n int, lo long, hi long, wins array<long>, docs array<long>, ats array<int>"
 MATCHES = "doc long, start int, stop int, first long"
 
 
@@ -142,63 +142,63 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _contexts(hot: bool):
-    """Rows of suffixes with equal sides: their sides, or (hot) the hashes of their windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in text.slices(batches):
-            w, hashes = _hashed(buf, off)
-            lists = rows.column(2)
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of suffixes with equal sides: their sides, or for hot seeds the hashes of their windows."""
+    for rows, buf, off in text.slices(batches):
+        w, hashes = _hashed(buf, off)
+        for column, hot in ((2, False), (3, True)):
+            lists = rows.column(column)
             owner = np.repeat(np.arange(len(off) - 1), np.diff(np.asarray(lists.offsets)))
             local = lists.flatten().to_numpy().astype(np.int64)
-            n = np.diff(w.ptr)
-            fits = local + SEED <= n[owner]  # another text of this id may be longer
+            fits = local + SEED <= np.diff(w.ptr)[owner]  # another text of this id may be longer
             owner, local = owner[fits], local[fits]
-            if not len(local):
-                continue
-            ids = rows.column(0).to_numpy()
-            seeds = text.windows(hashes, SEED)
-            code = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)
-            k = np.arange(SIDE)
             for a in range(0, len(local), POSITIONS):
-                own, place = owner[a : a + POSITIONS], local[a : a + POSITIONS]
-                at = place + w.ptr[own]
-                seed = seeds[at]
-                # how far the seed is the leftmost least one
-                n_left, n_right = np.minimum(place, SIDE), np.minimum(n[own] - place - SEED, SIDE)
-                before, after = np.maximum(at[:, None] - 1 - k, 0), np.minimum(at[:, None] + 1 + k, len(seeds) - 1)
-                stop = (seeds[before] <= seed[:, None]) | (k >= n_left[:, None])
-                n_left = np.where(stop.any(1), stop.argmax(1), SIDE)
-                stop = (seeds[after] < seed[:, None]) | (k >= n_right[:, None])
-                n_right = np.where(stop.any(1), stop.argmax(1), SIDE)
-                use = n_left + n_right >= SIDE
-                own, place, at, seed, n_left, n_right = (x[use] for x in (own, place, at, seed, n_left, n_right))
-                right = np.where(k < n_right[:, None], code[np.minimum(at[:, None] + SEED + k, len(code) - 1)], 0)
-                left = np.where(k < n_left[:, None], code[np.maximum(at[:, None] - 1 - k, 0)], 0)
-                hr, hl = _prefixes(right), _prefixes(left)
-                digest = text.mix(seed + text.mix(hr[SIDE] + text.mix(hl[SIDE])) + (n_left * 64 + n_right).astype(np.uint64))
-                doc = ids[own]
-                order = np.lexsort((place, doc, digest))
-                new = np.ones(len(order), bool)
-                new[1:] = digest[order][1:] != digest[order][:-1]
-                head = np.flatnonzero(new)
-                if not len(head):
-                    continue
-                i = order[head]
-                offsets = pa.array(np.append(head, len(order)).astype(np.int32))
-                docs, ats = doc[order], place[order].astype(np.int32)
-                members = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (docs, ats)]
-                if hot:
-                    split = np.arange(SIDE + 1)[:, None]
-                    wins = text.mix(seed[i] + text.mix(hr[::-1][:, i] + STEP * text.mix(hl[:, i])))
-                    ok = (split <= n_left[i]) & (SIDE - split <= n_right[i])
-                    flat = pa.array(wins.T.reshape(-1).view(np.int64), mask=~ok.T.reshape(-1))
-                    lists_ = pa.ListArray.from_arrays(pa.array((np.arange(len(i) + 1) * (SIDE + 1)).astype(np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[i].view(np.int64)), pa.array(docs[head]), pa.array(docs[np.append(head[1:], len(order)) - 1]), lists_, *members], _names(WINDOWS))
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(seed[i].view(np.int64)), _packed(right[i]), _packed(left[i]), pa.array(n_right[i].astype(np.int32)), pa.array(n_left[i].astype(np.int32)), *members], _names(SIDES))
-
-    return run
+                yield from _context_rows(w, hashes, rows.column(0).to_numpy(), owner[a : a + POSITIONS], local[a : a + POSITIONS], hot)
+
+
+def _context_rows(w: text.Words, hashes: np.ndarray, ids: np.ndarray, own: np.ndarray, place: np.ndarray, hot: bool) -> Iterator[pa.RecordBatch]:
+    seeds = text.windows(hashes, SEED)
+    code = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)
+    k = np.arange(SIDE)
+    at = place + w.ptr[own]
+    seed = seeds[at]
+    # how far the seed is the leftmost least one
+    n_left, n_right = np.minimum(place, SIDE), np.minimum(w.ptr[own + 1] - at - SEED, SIDE)
+    before, after = np.maximum(at[:, None] - 1 - k, 0), np.minimum(at[:, None] + 1 + k, len(seeds) - 1)
+    stop = (seeds[before] <= seed[:, None]) | (k >= n_left[:, None])
+    n_left = np.where(stop.any(1), stop.argmax(1), SIDE)
+    stop = (seeds[after] < seed[:, None]) | (k >= n_right[:, None])
+    n_right = np.where(stop.any(1), stop.argmax(1), SIDE)
+    use = n_left + n_right >= SIDE
+    if not use.any():
+        return
+    own, place, at, seed, n_left, n_right = (x[use] for x in (own, place, at, seed, n_left, n_right))
+    right = np.where(k < n_right[:, None], code[np.minimum(at[:, None] + SEED + k, len(code) - 1)], 0)
+    left = np.where(k < n_left[:, None], code[np.maximum(at[:, None] - 1 - k, 0)], 0)
+    hr, hl = _prefixes(right), _prefixes(left)
+    digest = text.mix(seed + text.mix(hr[SIDE] + text.mix(hl[SIDE])) + (n_left * 64 + n_right).astype(np.uint64))
+    doc = ids[own]
+    order = np.lexsort((place, doc, digest))
+    new = np.ones(len(order), bool)
+    new[1:] = digest[order][1:] != digest[order][:-1]
+    head = np.flatnonzero(new)
+    i = order[head]
+    n = len(i)
+    docs, ats = doc[order], place[order].astype(np.int32)
+    offsets = pa.array(np.append(head, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (docs, ats)]
+    if hot:
+        split = np.arange(SIDE + 1)[:, None]
+        wins = text.mix(seed[i] + text.mix(hr[::-1][:, i] + STEP * text.mix(hl[:, i])))
+        ok = (split <= n_left[i]) & (SIDE - split <= n_right[i])
+        flat = pa.array(wins.T.reshape(-1).view(np.int64), mask=~ok.T.reshape(-1))
+        windows = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * (SIDE + 1)).astype(np.int32)), flat)
+        binary, int_ = pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())
+        columns = [pa.array(digest[i].view(np.int64)), binary, binary, int_, int_, pa.array(docs[head]), pa.array(docs[np.append(head[1:], len(order)) - 1]), windows]
+    else:
+        long = pa.nulls(n, pa.int64())
+        columns = [pa.array(seed[i].view(np.int64)), _packed(right[i]), _packed(left[i]), pa.array(n_right[i].astype(np.int32)), pa.array(n_left[i].astype(np.int32)), long, long, pa.nulls(n, pa.list_(pa.int64()))]
+    yield pa.RecordBatch.from_arrays([*columns, *lists], _names(CONTEXT))
 
 
 def _told(hit: np.ndarray, first: np.ndarray, docs: pa.ListArray, ats: pa.ListArray) -> pa.RecordBatch:
@@ -370,16 +370,17 @@ def spans(docs: DataFrame, key: str = "doc_id", group: int = GROUP) -> DataFrame
     else:  # SHARE rows at most
         rest = hits.join(F.broadcast(heavy.select("seeds")), "seeds", "left_anti").join(shared.filter(F.col("n") <= limit).select("seeds", "hot"), "seeds")
         hits = hits.join(F.broadcast(heavy), "seeds").unionByName(rest)
-    hits = hits.select("doc", "at", "hot").join(copies.filter("doc <> first").select("doc").distinct(), "doc", "left_anti").distinct()
-    each = lambda hot: F.array_sort(F.collect_list(F.when(F.col("hot") == hot, F.col("at"))))
+    each = lambda hot: F.array_sort(F.collect_set(F.when(F.col("hot") == hot, F.col("at"))))
     hits = scratch.keep(hits.groupBy("doc").agg(each(False).alias("at"), each(True).alias("hot_at")), "hits")
-    sides = hits.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "text", "at").mapInArrow(_contexts(False), SIDES)
+    scratch.drop("found")
+    ours = hits.join(copies.filter("doc <> first").select("doc"), "doc", "left_anti").join(texts, F.col("doc") == F.col("doc_id"))
+    context = scratch.keep(ours.select("doc", "text", "at", "hot_at").mapInArrow(_contexts, CONTEXT), "context")
+    sides = context.filter("wins is null").select("key", "near", "far", "near_n", "far_n", "docs", "ats")
     matches = sides.repartition("key").sortWithinPartitions("key", "near").mapInArrow(_neighbours, MATCHES)
     if not shared.filter("hot").isEmpty():
-        rows = hits.filter(F.size("hot_at") > 0).join(texts, F.col("doc") == F.col("doc_id")).select("doc", "text", "hot_at").mapInArrow(_contexts(True), WINDOWS)
-        matches = matches.unionByName(_hot_matches(scratch.keep(rows, "windows")))
+        matches = matches.unionByName(_hot_matches(context.filter("wins is not null").select("key", "lo", "hi", "wins", "docs", "ats")))
     matches = scratch.keep(matches, "matches")
-    scratch.drop("found", "hits", "shared", "windows")
+    scratch.drop("hits", "shared", "context")
     # copies repeat whole, and what their first has from others they have from there too
     whole = copies.select("doc", F.lit(0).alias("start"), F.col("n_words").alias("stop"), "first", F.lit(True).alias("whole"))
     older = matches.filter("first < doc").withColumnRenamed("doc", "rep")
