@@ -23,9 +23,14 @@ A bucket whose members are then in more than one component is open, and all its
 pairs of different components are looked at: open buckets are cut into units of
 about UNIT rows, and each two units meet in one task.  A bit map of each set (the
 parity of the shingles in each bit) bounds a pair's difference from below, so it
-parts the pairs that surely are not similar without loss; the others are confirmed
-on full sets.  So every pair that shares a table is in one component or known to
-be no link.
+parts the pairs that surely are not similar without loss.  Of the others a task
+gives no more than a few for each document: the closest one of each, and a tree
+of close pairs over all components that they join.  These are confirmed on full
+sets.  Where the whole tree holds, the units' components are one; where it does
+not, the full sets of the units' documents meet in one task, which tries all pairs
+between components that are still apart and gives a tree of the links it finds.
+So every pair that shares a table is in one component or known to be no link, and
+no step gives more rows than documents that it has read.
 
 Defined results: texts that are null or have no words are linked with nothing
 and are components of their own (n_shingles 0); repeated rows are copies and
@@ -52,6 +57,8 @@ M = 10
 ROWS = 2
 #: Rows of an open bucket that meet others at once, and the bits of a set's map at most.
 UNIT, MOST_BITS = 1000, 1 << 16
+#: Shingles after which a text counts as one more row of its unit.
+LONG = 1000
 _RNG = np.random.Generator(np.random.PCG64(75))
 _ODD = _RNG.integers(1, 2**63, (2 * M * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 _TABLE = text.mix(np.arange(1, M * M + 1, dtype=np.uint64))
@@ -201,13 +208,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * common >= percent * (len(both) - common))
+            ok = [similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), percent) for pair in zip(batch.column(2), batch.column(3))]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["u", "v"])
 
@@ -228,12 +229,12 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(at, 1000)
             band = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(-1, 2 * M)
             each = pa.array(np.repeat(np.arange(rows.num_rows), M * M))
-            yield pa.RecordBatch.from_arrays([pa.array(table_keys(band)), rows.column(0).take(each), rows.column(1).take(each)], ["key", "doc", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(table_keys(band)), *(rows.column(k).take(each) for k in (0, 1, 3))], ["key", "doc", "comp", "weight"])
 
 
-def bit_map(shingles: np.ndarray) -> bytes:
-    """Whether an odd number of the shingles falls on each bit; bits are their last ones, twice as many as shingles or more."""
-    width = min(MOST_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+def bit_map(shingles: np.ndarray, times: int = 2) -> bytes:
+    """Whether an odd number of the shingles falls on each bit; bits are their last ones, `times` as many as shingles or more."""
+    width = min(MOST_BITS, max(64, 1 << (times * len(shingles) - 1).bit_length()))
     return np.packbits((np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
@@ -279,13 +280,33 @@ def close_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[byt
     return np.minimum(a, b), np.maximum(a, b), gap
 
 
-def _close(percent: int):
-    """close_pairs of each group of sorted rows; a group may run on over batches."""
-
-    def told(t: pa.Table) -> pa.RecordBatch:
-        columns = [t.column(c).to_numpy() for c in ("doc", "comp", "n")]
-        out = close_pairs(*columns, t.column("bits").to_pylist(), t.column("side").to_numpy(), percent)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "gap"])
+def tree(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the pairs of 0..n-1, best first, that make a least tree of each component."""
+    part, edge, out = np.arange(n), np.arange(len(a)), []
+    while len(edge):
+        u, v = part[a[edge]], part[b[edge]]
+        edge, u, v = (x[u != v] for x in (edge, u, v))
+        if not len(edge):
+            break
+        best = np.full(n, len(a))
+        np.minimum.at(best, u, edge)
+        np.minimum.at(best, v, edge)
+        chosen = np.unique(best[best < len(a)])
+        out.append(chosen)
+        u, v = part[a[chosen]], part[b[chosen]]
+        while True:  # the smallest label of all that the chosen pairs join
+            label = np.arange(n)
+            np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+            while (label != label[label]).any():
+                label = label[label]
+            part, u, v = label[part], label[u], label[v]
+            if (u == v).all():
+                break
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _by_group(told):
+    """told() of the table of each group of sorted rows; a group may run on over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -303,6 +324,64 @@ def _close(percent: int):
     return run
 
 
+def _close(percent: int):
+    """Of the pairs of a group that may be similar: a tree over the components, and the closest one of each document."""
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        doc, comp, n = (t.column(c).to_numpy() for c in ("doc", "comp", "n"))
+        a, b, gap = close_pairs(doc, comp, n, t.column("bits").to_pylist(), t.column("side").to_numpy(), percent)
+        order = np.lexsort((b, a, gap))
+        a, b, gap = a[order], b[order], gap[order]
+        ids, first = np.unique(doc, return_index=True)
+        names, of = np.unique(comp[first], return_inverse=True)
+        i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        in_tree = np.zeros(len(a), bool)
+        in_tree[tree(of[i], of[j], len(names))] = True
+        near = in_tree.copy()
+        near[np.unique(np.stack([i, j], 1).reshape(-1), return_index=True)[1] // 2] = True
+        k = np.flatnonzero(near)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), t.column(0)[0].as_py())), pa.array(a[k]), pa.array(b[k]), pa.array(in_tree[k])], ["group", "a", "b", "tree"])
+
+    return _by_group(told)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _all_links(percent: int):
+    """A tree of the links between components of a group, of all pairs on full sets."""
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        doc, comp = (t.column(c).to_numpy() for c in ("doc", "comp"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
+        n = np.array([len(s) for s in sets])
+        a, b, gap = close_pairs(np.arange(len(doc)), comp, n, [bit_map(s, 16) for s in sets], np.full(len(doc), 2), percent)
+        names, part = np.unique(comp, return_inverse=True)
+        up = list(range(len(names)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for k in np.argsort(gap, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            x, y = top(part[i]), top(part[j])
+            if x != y and similar(sets[i], sets[j], percent):
+                up[x] = y
+                out.append((doc[i], doc[j]))
+        u, v = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return _by_group(told)
+
+
 def crossing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) between different components, with these as c_a and c_b."""
     side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
@@ -311,16 +390,17 @@ def crossing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def open_pairs(links: DataFrame, groups: DataFrame, chosen: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b, gap: all pairs of open buckets that may be similar.
+    """group, a, b, tree: of the pairs of two units of an open bucket, some that tell whether its components are one.
 
     links tie the members of each bucket together, so a bucket is open only if one
     of them runs between components, and each of its components has an end of such.
     """
     ends = crossing(links, groups).select(F.explode(F.array("c_a", "c_b")).alias("comp")).distinct()
     loose = chosen.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).join(ends, "comp", "left_semi")
-    loose = scratch.keep(loose.select(F.col("doc_id").alias("doc"), "comp", "bands"), "loose")
-    rows = loose.mapInArrow(_tables, "key long, doc long, comp long")
-    counts = scratch.keep(rows.groupBy("key", "comp").agg(F.count("*").alias("own")), "counts")
+    # a long text counts as several rows
+    loose = scratch.keep(loose.select(F.col("doc_id").alias("doc"), "comp", "bands", (1 + F.floor(F.col("n") / LONG)).cast("int").alias("weight")), "loose")
+    rows = loose.mapInArrow(_tables, "key long, doc long, comp long, weight int")
+    counts = scratch.keep(rows.groupBy("key", "comp").agg(F.sum("weight").alias("own")), "counts")
     open_ = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("own").alias("all")).filter("parts > 1")
     # a unit is a part of one large component, or of all the small ones of a bucket
     large = F.col("own") > UNIT
@@ -335,12 +415,20 @@ def open_pairs(links: DataFrame, groups: DataFrame, chosen: DataFrame, texts: Da
     last = members.join(meet.filter("p <> q").withColumn("unit", F.col("q")), ["key", "unit"]).withColumn("side", F.lit(1))
     maps = scratch.keep(Members(members.select("doc").distinct(), "doc").through(texts, "doc_id", _bits, "doc long, n long, bits binary").dropDuplicates(["doc"]), "maps")
     met = first.unionByName(last).select("group", "doc", "comp", "side").join(maps, "doc").select("group", "doc", "comp", "side", "n", "bits")
-    close = met.repartition("group").sortWithinPartitions("group").mapInArrow(_close(percent), "a long, b long, gap long")
-    close = scratch.keep(close.distinct(), "close")
+    close = scratch.keep(met.repartition("group").sortWithinPartitions("group").mapInArrow(_close(percent), "group long, a long, b long, tree boolean"), "close")
     scratch.drop("loose", "counts", "members", "meet", "maps")
     return close
 
 
+def _ends(pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """doc_id of all that are in a pair."""
+    return scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
+
+
+def _full_sets(ends: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.keep(Members(ends, "doc_id").through(texts, "doc_id", _sets, "doc long, set binary").dropDuplicates(["doc"]), name)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document; key names the column of ids."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -355,8 +443,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     linked = scratch.keep(linked.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
     links = linked.join(sizes, "a").join(sizes.toDF("b", "size_b"), "b").filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     links = scratch.keep(links.select("a", "b", "n"), "sized")
-    ends = Members(links.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    sets = scratch.keep(ends.through(texts, "doc_id", _sets, "doc long, set binary"), "sets")
+    sets = _full_sets(_ends(links, scratch, "ends"), texts, scratch, "sets")
     best = links.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     found = scratch.keep(confirmed(best.select("a", "b"), sets, percent), "first")
     groups = components(found, scratch=Scratch(docs.sparkSession, "minhash-first"))
@@ -365,20 +452,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     found = found.unionByName(scratch.keep(confirmed(second, sets, percent), "second"))
     groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-second")), "groups-2")
     # all links were tried or lie within a component; what is left are pairs of open buckets without a link
-    close = open_pairs(linked, groups, chosen, texts, percent, scratch).join(links.select("a", "b"), ["a", "b"], "left_anti")
-    close = scratch.keep(close, "unlinked")
-    if not close.isEmpty():
-        ends = Members(close.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-        sets = scratch.keep(ends.through(texts, "doc_id", _sets, "doc long, set binary").dropDuplicates(["doc"]), "close-sets")
-        # the closest pair of each two components, then all pairs that still run between different ones
-        nearest = crossing(close, groups).groupBy(F.least("c_a", "c_b").alias("c"), F.greatest("c_a", "c_b").alias("d")).agg(F.min_by(F.struct("a", "b"), F.struct("gap", "a", "b")).alias("pair"))
-        third = scratch.keep(nearest.select("pair.a", "pair.b"), "nearest")
-        found = found.unionByName(scratch.keep(confirmed(third, sets, percent), "third"))
-        groups = components(found, scratch=Scratch(docs.sparkSession, "minhash-third"))
-        fourth = crossing(close, groups).select("a", "b").join(third, ["a", "b"], "left_anti")
-        found = found.unionByName(scratch.keep(confirmed(fourth, sets, percent), "fourth"))
-        groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-fourth")), "groups")
-    scratch.drop("links", "sized", "sets", "close", "unlinked", "close-sets", "nearest", "first", "second", "third", "fourth")
+    close = open_pairs(linked, groups, chosen, texts, percent, scratch)
+    third = scratch.keep(close.select("a", "b").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), "third")
+    if not third.isEmpty():
+        sets = _full_sets(_ends(third, scratch, "close-ends"), texts, scratch, "close-sets")
+        found = found.unionByName(scratch.keep(confirmed(third, sets, percent), "third-found"))
+        groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-third")), "groups-3")
+        # a group whose tree does not hold as a whole is tried pair by pair
+        failed = scratch.keep(crossing(close.filter("tree"), groups).select("group").distinct(), "failed")
+        if not failed.isEmpty():
+            rest = close.join(failed, "group", "left_semi").select("group", F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left")
+            rest = scratch.keep(rest.select("group", F.col("node").alias("doc"), F.coalesce("component", "node").alias("comp")), "rest")
+            sets = _full_sets(rest.select(F.col("doc").alias("doc_id")).distinct(), texts, scratch, "rest-sets")
+            met = rest.join(sets, "doc").select("group", "doc", "comp", "set").repartition("group").sortWithinPartitions("group")
+            found = found.unionByName(scratch.keep(met.mapInArrow(_all_links(percent), "u long, v long"), "fourth"))
+            groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-fourth")), "groups")
+    scratch.drop("links", "sized", "ends", "sets", "close", "close-ends", "close-sets", "failed", "rest", "rest-sets", "first", "second", "third", "third-found", "fourth")
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
     told = sketched.select("doc_id", "n", "p1", "p2").join(named, ["p1", "p2", "n"], "left")
     out = told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

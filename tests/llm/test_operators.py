@@ -139,6 +139,30 @@ def test_minhash_finds_pairs_of_a_loose_family(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_trees_span_all_components():
+    r = np.random.default_rng(8)
+    for n, m in ((2, 1), (5, 4), (60, 40), (60, 400), (300, 280)):
+        a, b = r.integers(0, n, (2, m))
+        chosen = minhash.tree(a, b, n)
+
+        def parts(edges):
+            up = list(range(n))
+
+            def top(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            weight = 0
+            for k in edges:
+                x, y = top(a[k]), top(b[k])
+                if x != y:
+                    up[x], weight = y, weight + k
+            return len({top(x) for x in range(n)}), weight
+
+        assert parts(sorted(chosen)) == parts(range(m)) and len(chosen) == n - parts(range(m))[0]
+
+
 def test_bit_maps_lose_no_similar_pair():
     r = np.random.default_rng(6)
     for size in (1, 5, 40, 700, 50_000):
