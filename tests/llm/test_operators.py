@@ -358,3 +358,29 @@ def test_neighbours(spark):
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[:3] for r in neighbours.nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 1)]
+
+
+def test_neighbours_of_repeated_and_hot_rows(spark):
+    """Equal query rows are one query; a third of the rows has one id and one vector, and clusters fill many shards."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6, 6))[r.integers(0, 6, 900)] * 4 + r.normal(size=(900, 6)) * 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 450 + [(100, x[100].tolist())] * 3 + [(200, x[201].tolist()), (950, x[0].tolist()[:3]), (951, x[1].tolist()[:3])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, row int, shard int").repartition(4)
+    for factor in (1.0, 0.8):
+        got = defaultdict(list)
+        for g in neighbours.nearest(df, df.filter("vec_id % 50 = 0"), factor=factor, shard_rows=60).collect():
+            got[g.query_id].append((g.rank, g.vec_id, g.score))
+        ids, at = np.array([i for i, v in rows if len(v) == 6]), np.array([v for _, v in rows if len(v) == 6])
+        hits = total = 0
+        for q in range(0, 900, 50):
+            want = []
+            for v in np.unique(at[ids == q], axis=0):
+                d = np.sqrt(((at - v) ** 2).sum(1))
+                some = np.flatnonzero(ids != q)
+                best = some[np.lexsort((ids[some], d[some]))][:10]
+                want += [(k + 1, int(ids[i]), float(d[i])) for k, i in enumerate(best)]
+            if factor == 1:
+                assert sorted(got[q]) == [(a, b, pytest.approx(c)) for a, b, c in sorted(want)]
+            hits, total = hits + len({w[1] for w in want} & {g[1] for g in got[q]}), total + len({w[1] for w in want})
+        assert hits >= 0.9 * total
+        assert [g[1] for g in got[950]] == [951]
