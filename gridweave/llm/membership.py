@@ -1,6 +1,10 @@
-"""Rows whose id is in another table, without shuffling the rows.
+"""Rows whose key is in another table, without shuffling the rows where that can be.
 
-The ids set bits of a map of bounded size (MOST_BITS at most), which travels to
+spread_join() joins rows to what is told of their keys.  A key with more than one
+part in SHARE of all rows is hot; there are at most SHARE such keys, so they are
+broadcast and their rows stay where they are.  The rest meet by the key.
+
+Members is for ids that are to be found again.  The ids set bits of a map of bounded size (MOST_BITS at most), which travels to
 the tasks; rows whose bit is clear are surely not in the table.  A few others
 get through, so callers must do no harm with them.  At sizes where the map is
 full, every row gets through and only the saving is lost.
@@ -15,6 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 MOST_BITS = 1 << 27
+SHARE = 20_000
+
+
+def spread_join(rows: DataFrame, told: DataFrame, on: list[str], total: int, least: int) -> DataFrame:
+    """rows joined to told, which has their keys and n, the number of rows of each.
+
+    total: number of all rows; no key of `least` rows or fewer is hot.
+    """
+    limit = max(least, total // SHARE)
+    heavy, light = told.filter(F.col("n") > limit).drop("n"), told.filter(F.col("n") <= limit).drop("n")
+    if heavy.isEmpty():
+        return rows.join(light, on)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)
+    return rows.join(F.broadcast(heavy), on).unionByName(rest)
 
 
 class Members:

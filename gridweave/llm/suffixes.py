@@ -48,6 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import text
+from gridweave.llm.membership import spread_join
 from gridweave.sources.scratch import Scratch, free_name
 
 MIN_WORDS = 50
@@ -56,15 +57,13 @@ SPREAD = MIN_WORDS - SEED + 1
 SIDE = SPREAD - 1
 #: Suffixes of one seed that a task holds at once.
 GROUP = 1 << 14
-#: A seed with more than this part of all positions is joined without a shuffle; so there are at most this many.
-SHARE = 20_000
 #: Positions whose sides are laid out at once.
 POSITIONS = 1 << 15
 LAST = np.uint64(2**64 - 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _over(x: np.ndarray, n: int, fold: np.ufunc) -> np.ndarray:
+def over(x: np.ndarray, n: int, fold: np.ufunc) -> np.ndarray:
     """fold over each n consecutive entries."""
     size = 1
     while size * 2 <= n:
@@ -82,9 +81,9 @@ def selected(hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
     end = np.repeat(ptr[1:], n)[: len(seed)]
     whole = np.arange(len(seed)) + SEED <= end
     ranked = np.where(whole, seed, LAST)
-    least = _over(ranked, SPREAD, np.minimum)
+    least = over(ranked, SPREAD, np.minimum)
     padded = np.concatenate([np.zeros(SPREAD - 1, np.uint64), least, np.zeros(SPREAD - 1, np.uint64)])
-    most = _over(padded, SPREAD, np.maximum)
+    most = over(padded, SPREAD, np.maximum)
     at = np.flatnonzero((most == ranked) & whole & np.repeat(n >= MIN_WORDS, n)[: len(seed)])
     return at, seed[at]
 
@@ -362,14 +361,8 @@ def spans(docs: DataFrame, key: str = "doc_id", group: int = GROUP) -> DataFrame
     placed = found.select("doc", "d1", F.inline(F.arrays_zip("at", "seeds")))
     shared = placed.groupBy("seeds").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("seeds", (F.col("n") > group).alias("hot"), "n")
     shared = scratch.keep(shared, "shared")
-    limit = max(group, (found.agg(F.sum(F.size("at"))).first()[0] or 0) // SHARE)
-    heavy = shared.filter(F.col("n") > limit).select("seeds", "hot")
-    hits = placed.select("doc", "at", "seeds")
-    if heavy.isEmpty():
-        hits = hits.join(shared.select("seeds", "hot"), "seeds")
-    else:  # SHARE rows at most
-        rest = hits.join(F.broadcast(heavy.select("seeds")), "seeds", "left_anti").join(shared.filter(F.col("n") <= limit).select("seeds", "hot"), "seeds")
-        hits = hits.join(F.broadcast(heavy), "seeds").unionByName(rest)
+    total = found.agg(F.sum(F.size("at"))).first()[0] or 0
+    hits = spread_join(placed.select("doc", "at", "seeds"), shared, ["seeds"], total, group)
     each = lambda hot: F.array_sort(F.collect_set(F.when(F.col("hot") == hot, F.col("at"))))
     hits = scratch.keep(hits.groupBy("doc").agg(each(False).alias("at"), each(True).alias("hot_at")), "hits")
     scratch.drop("found")

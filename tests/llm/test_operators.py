@@ -243,8 +243,57 @@ def test_chunks_resist_shifts():
     r = np.random.default_rng(1)
     a = r.integers(97, 123, 20000, dtype=np.uint8)
     b = np.concatenate([a[:5000], np.frombuffer(b"inserted", np.uint8), a[5000:]])
-    cut = [{x - 8 if len(t) > 20000 and x > 5100 else x for x in chunks.chunk_starts(t, np.array([0, len(t)])).tolist()} for t in (a, b)]
+    cut = [{x - 8 if len(t) > 20000 and x > 5200 else x for x in chunks.chunk_starts(t, np.array([0, len(t)])).tolist()} for t in (a, b)]
     assert len(cut[0] & cut[1]) > 0.95 * len(cut[0])
+    assert max(np.diff(sorted(cut[0]))) <= chunks.WINDOW
+    flat = np.frombuffer(b"ab" * 10000, np.uint8)
+    assert len(chunks.chunk_starts(flat, np.array([0, len(flat)]))) < 20
+
+
+@pytest.mark.parametrize("group", [chunks.GROUP, 1])
+def test_chunks_equal_a_search_of_all_digests(spark, group):
+    """Spans follow from the chunks alone; each chunk is kept by its first holder."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    p, q = prose(80), prose(80)
+    parts = [prose(r.choice([20, 40, 60, 90])) for _ in range(8)]
+    rows = [(1, p), (2, f"{p} {q}"), (3, f"{p} {q}"), (3, f"{p} {q}"), (None, p)] + [(10 + k, " ".join(r.choice(parts) if r.random() < 0.7 else prose(30) for _ in range(6))) for k in range(60)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, size int, n int").repartition(3)
+    own, lists = defaultdict(set), defaultdict(dict)
+    for c in chunks.chunks(df).collect():
+        own[c.digest, c.end_byte - c.start_byte].add(c.doc_id)
+        lists[c.doc_id][c.start_byte] = c
+    want = set()
+    for doc, held in lists.items():
+        run = []
+        for c in [held[k] for k in sorted(held)] + [None]:
+            ids = own[c.digest, c.end_byte - c.start_byte] if c else ()
+            if len(ids) > 1:
+                run.append((c, min(ids)))
+                continue
+            if sum(x.n_words for x, _ in run) >= chunks.MIN_WORDS:
+                want |= {(doc, x.start_byte, first) for x, first in run}
+            run = []
+    got, seen = chunks.repeated_spans(df, group=group).collect(), set()
+    for s in got:
+        inside = [k for k in lists[s.doc_id] if s.start_byte <= k < s.end_byte]
+        assert len(inside) == s.n_chunks and s.kept == (s.doc_id == s.first_doc_id) and s.span_start <= s.start_byte < s.end_byte <= s.span_end
+        seen |= {(s.doc_id, k, s.first_doc_id) for k in inside}
+    assert seen == want
+    assert any(s.doc_id == 2 and s.kept for s in got) and not any(s.doc_id == 3 and s.kept for s in got)  # q stays in 2
+
+
+def test_chunks_find_passages(spark):
+    """Passages of 51 words in two documents each."""
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    rows = []
+    for k in range(300):
+        p = prose(51)
+        rows += [(2 * k, f"{prose(r.randint(3, 90))} {p} {prose(40)}"), (2 * k + 1, f"{prose(r.randint(3, 90))} {p} {prose(40)}")]
+    rows += [(1000 + k, prose(150)) for k in range(300)]
+    got = {s.doc_id for s in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & set(range(600))) >= 598 and not got - set(range(600))
 
 
 def test_url_rules_and_model(spark):
