@@ -3,51 +3,72 @@
 Two models learn from the documents that are not held out.
 
 Base: add-one unigram over all tokens.  Token counts are summed before the
-shuffle and kept as a table.  The HEAD most frequent words (at most, and only
-words of up to MOST_BYTES bytes, so the size is bounded) travel to the tasks;
-all other words of a document are joined to the table by word.
-
-Model: a hashed maximum-entropy model with a class-factored softmax.
-P(token) = P(class | history) * P(token | class, history); both factors are
-softmaxes over sums of weight rows, which a hash of the feature selects (for the
-second factor: of feature and class).  Features: a bias, the previous token, the
-one before it (a skip), and both together.  The CLASSES * CLASSES - CLASSES most
-frequent tokens have classes by frequency; everything else is the one token of
-class 0 and takes its share by add-one counts, so the scores are probabilities
-over all words.  Training takes the documents in ROUNDS parts: each task runs
-AdaGrad steps over its documents from the common weights, and the rows are then
-averaged by how often each task used them.  Scoring runs in numpy batches.
+shuffle and kept as a table by word hash (96 bits).  The HEAD most frequent words
+travel to the tasks (20 bytes each, whatever their length); all other words of a
+document are joined to the table.
+
+Model: a hashed maximum-entropy model with a class-factored softmax over all
+words.  The TOP most frequent words are leaves of their own, every other word
+belongs to one of TAILS leaves by a hash of its last letters and whether it is
+long, so unseen words have leaves too.  CLASSES leaves that follow each other
+make a class, and
+
+    P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf).
+
+The first two factors are softmaxes; the third is add-one by counts, with a share
+for unseen words, so the scores are probabilities over all words.  Features of a
+history: the previous word, the one before it (a skip), both together, the leaves
+of both, and the last two of the most frequent words, however far back (a skip);
+for the second factor the previous word, its leaf and those last two.  A hash takes
+each feature to one of the rows of its table, whose number grows with the training
+tokens from 2^LEAST_BITS to 2^MOST_BITS.
+
+A row's value for a target is the log of how much more often the target follows
+the row than it stands anywhere, from counts over all training tokens.  The
+model's parameters are one weight for each feature, factor and size of row
+(BUCKETS of them): STEPS gradient updates, each over the documents of another
+share, sum gradient and curvature over the tasks and take a Newton step.  A
+document gives every STRIDE-th of its tokens to these sums, each judged by the
+counts without itself; the counts take all.
+Counts are whole numbers and the sums do not depend on order but for rounding, so
+partitions and reruns do not change the scores.
+
+Scoring runs in numpy batches over sparse rows.
 
 Defined results: a null or empty text is its end token alone; a null id counts
 as the text "" for the hold-out rule and keeps its row; repeated rows are
-learned and scored one by one; an empty table gives no rows.  Only doc_id and
-text are read, so other columns cannot clash.
+learned and scored one by one; ties of frequent words go by hash; an empty table
+gives no rows.  Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridweave.llm import text
 from gridweave.sources.scratch import Scratch
 
-HEAD, MOST_BYTES = 1 << 18, 64
+HEAD = 1 << 19
 CLASSES = 32
-HASHED_BITS = 14
-HASHED = 1 << HASHED_BITS
-ROUNDS = 2
+TOP = TAILS = CLASSES * CLASSES // 2
+#: Rows of a feature's table: one for about 2^TOKENS_BITS training tokens.
+LEAST_BITS, MOST_BITS, TOKENS_BITS = 13, 17, 11
+STEPS, STRIDE = 3, 8
+BUCKETS = 8
+#: Features of the first and the second factor.
+FIRST, SECOND = 5, 3
+PRIOR = 4.0
+RIDGE, START = 10.0, 0.4
 BATCH = 8192
-RATE = 0.2
 BLOCK = 1024
-FEATURES = 4
-#: The end token among words, which are never empty.
-END = b""
+LONG = 4
+END = np.uint64(0x1F3D5B79A2C4E608)
+_OTHER = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -55,228 +76,352 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", key % 7 == 2)
 
 
-def _words(buf: np.ndarray, off: np.ndarray) -> text.Words:
-    return text.words(text.LOWER[buf], off)
+def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[text.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of lower-cased texts, their two hashes and their tail groups."""
+    buf = text.LOWER[buf]
+    w = text.words(buf, off)
+    h = text.span_hash(text.prefix_hash(buf), w.start, w.end)
+    run = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_OTHER[buf], out=run[1:])
+    size = (w.end - w.start).astype(np.uint64)
+    other = (text.mix((run[w.end] - run[w.start]) * np.uint64(0x9E3779B97F4A7C15) + size) >> np.uint64(33)).astype(np.int32)
+    last, before = buf[w.end - 1].astype(np.uint64), np.where(size > 1, buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
+    tail = text.mix(last * np.uint64(256) + before + (size > LONG).astype(np.uint64) * np.uint64(65536) + np.uint64(7)) % np.uint64(TAILS)
+    return w, h, other, tail.astype(np.int16)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in text.slices(batches, most=2 * text.SLICE_BYTES):
-        found = _words(buf, off).binary().cast(pa.binary()).value_counts()
-        yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(off) - 1], pa.int64())], ["word", "n"])
-
+def _coded(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each distinct hash for all words, and the place of its first one."""
+    coded = pa.array(h.view(np.int64)).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    first = np.zeros(len(coded.dictionary), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first
 
-@dataclass
-class Tokens:
-    """Tokens of a slice, each text's end token after its words."""
 
-    doc: np.ndarray  # the text of each token
-    word: np.ndarray  # its entry in the dictionary of the slice, -1 for ends
-    target: np.ndarray  # its number in the model: 0 for all words outside it
-    rows: np.ndarray  # FEATURES weight rows of its history
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, buf, off in text.slices(batches, most=2 * text.SLICE_BYTES):
+        _, h, other, tail = _keys(buf, off)
+        codes, first = _coded(h)
+        n = np.bincount(codes, minlength=len(first))
+        columns = [np.append(h[first], END).view(np.int64), np.append(other[first], 0).astype(np.int32), np.append(tail[first], 0).astype(np.int16), np.append(n, len(off) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "other", "tail", "n"])
 
 
 @dataclass
 class Vocabulary:
-    head: pa.Array
+    h: np.ndarray  # hashes of the head, sorted
+    other: np.ndarray
     count: np.ndarray
-    n_model: int
+    leaf: np.ndarray  # place among the most frequent words, -1 for the rest
     tokens: int  # N
     types: int  # V
-    outside_tokens: int  # the same without the model's tokens
-    outside_types: int
-
-
-def _tokens(buf: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> tuple[Tokens, pa.Array, np.ndarray]:
-    """Tokens, the dictionary of the slice, and each entry's place in the head (-1: none)."""
-    w = _words(buf, off)
-    coded = w.binary().dictionary_encode()
-    entries = coded.dictionary.cast(pa.binary())
-    place = pc.fill_null(pc.index_in(entries, value_set=vocabulary.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    n, n_docs = len(w.start), len(off) - 1
-    at = np.arange(n) + w.doc()
-    word = np.full(n + n_docs, -1, np.int64)
-    word[at] = coded.indices.to_numpy()
-    doc = np.repeat(np.arange(n_docs), np.diff(w.ptr) + 1)
-    end = pc.index_in(pa.scalar(END, pa.binary()), value_set=vocabulary.head).as_py()
-    number = np.where((place >= 0) & (place < vocabulary.n_model), place + CLASSES, 0)
-    target = np.full(len(word), (end + CLASSES) if end is not None and end < vocabulary.n_model else 0)
-    target[at] = number[word[at]]
-    h = np.zeros(len(word), np.uint64)
-    h[at] = text.span_hash(text.prefix_hash(w.buf), w.start, w.end)
-    one, two = np.ones(len(h), np.uint64), np.ones(len(h), np.uint64)
-    one[1:] = np.where(doc[1:] == doc[:-1], h[:-1], 1)
-    two[2:] = np.where(doc[2:] == doc[:-2], h[:-2], 1)
-    rows = np.zeros((FEATURES, len(h)), np.uint16)
-    for k, f in enumerate((one + np.uint64(11), two + np.uint64(23), one * np.uint64(3) + two * np.uint64(7) + np.uint64(37)), 1):
-        rows[k] = text.mix(f) >> np.uint64(64 - HASHED_BITS)
-    return Tokens(doc, word, target, rows), entries, place
-
-
-def _within(rows: np.ndarray, class_: np.ndarray) -> np.ndarray:
-    """Weight rows of the second factor."""
-    x = rows.astype(np.uint32) * np.uint32(40503) + class_.astype(np.uint32)[None] * np.uint32(7919) + np.uint32(12345)
-    return (x * np.uint32(2654435761) >> np.uint32(32 - HASHED_BITS)).astype(np.uint16)
-
-
-ONES = np.ones(CLASSES, np.float32)
-
-
-def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[1], 0)
-    z += weights[rows[0, 0]] if rows[0, 0] == rows[0, -1] and (rows[0] == rows[0, 0]).all() else weights.take(rows[0], 0)
-    for r in rows[2:]:
-        z += weights.take(r, 0)
-    np.minimum(z, 80, out=z)
-    np.exp(z, out=z)
-    z *= (1 / (z @ ONES))[:, None]
-    return z
+    bits: int
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log of P(class)
+    second: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log of P(leaf | class)
+    within: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of the denominator of P(word | leaf)
 
+    def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Place in the head, or -1."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where((self.h[at] == h) & (self.other[at] == other), at, -1)
 
-def _update(weights: np.ndarray, squares: np.ndarray, uses: np.ndarray, rows: np.ndarray, want: np.ndarray) -> None:
-    """One AdaGrad step on a batch."""
-    g = _softmax(weights, rows)
-    g[np.arange(len(want)), want] -= 1
-    for r in rows:
-        order = np.argsort(r, kind="stable")  # 16 bits: a radix sort
-        sorted_ = r[order]
-        head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        own = sorted_[head]
-        total = np.add.reduceat(g.take(order, 0), head) if len(head) > 1 else (np.ones(len(g), np.float32) @ g)[None]
-        seen = squares[own] + total * total
-        squares[own] = seen
-        weights[own] -= RATE * total / np.sqrt(seen + 1e-6)
-        uses[own] += np.diff(np.append(head, len(r)))
 
+@dataclass
+class Tokens:
+    """Tokens of a slice, each text's end token after its words."""
 
-def _train(weights: np.ndarray, vocabulary):
-    """Rows (block, weights times uses, uses) of one task's training."""
+    doc: np.ndarray
+    place: np.ndarray  # in the head, or -1
+    leaf: np.ndarray
+    rows: np.ndarray  # weight rows of the first factor
+    more: np.ndarray  # hashes of the second factor's features
+    code: np.ndarray  # number of the word in the slice, -1 for ends
+    h: np.ndarray  # hashes by that number
+    other: np.ndarray
+
+
+def _tokens(buf: np.ndarray, off: np.ndarray, v: Vocabulary) -> Tokens:
+    w, h, other, tail = _keys(buf, off)
+    codes, first = _coded(h)
+    place = v.find(h[first], other[first])
+    own = np.where(place >= 0, v.leaf[place] if len(v.leaf) else -1, -1)
+    own = np.where(own >= 0, own, TOP + tail[first].astype(np.int64))
+    n_docs, n = len(off) - 1, len(h) + len(off) - 1
+    at = np.arange(len(h)) + w.doc()
+    code = np.full(n, -1, np.int64)
+    code[at] = codes
+    doc = np.repeat(np.arange(n_docs), np.diff(w.ptr) + 1)
+    end = v.find(np.array([END]), np.zeros(1, np.int32))
+    leaf = np.full(n, v.leaf[end[0]] if end[0] >= 0 and v.leaf[end[0]] >= 0 else TOP)
+    where = np.full(n, end[0])
+    leaf[at], where[at] = own[codes], place[codes]
+    key = np.full(n, END)
+    key[at] = h
+    one, two, leaf_one, leaf_two = np.ones(n, np.uint64), np.ones(n, np.uint64), np.full(n, 2000, np.uint64), np.full(n, 2000, np.uint64)
+    same = doc[1:] == doc[:-1]
+    one[1:], leaf_one[1:] = np.where(same, key[:-1], 1), np.where(same, leaf[:-1], 2000)
+    same = doc[2:] == doc[:-2]
+    two[2:], leaf_two[2:] = np.where(same, key[:-2], 1), np.where(same, leaf[:-2], 2000)
+    # the last two frequent words before each token of its text
+    begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    front = np.flatnonzero((leaf < TOP) & (code >= 0))
+    seen = np.searchsorted(front, np.arange(n))
+    lately = np.full((2, n), 2000, np.uint64)
+    for k in range(2):
+        which = front[np.maximum(seen - 1 - k, 0)] if len(front) else np.zeros(n, np.int64)
+        lately[k] = np.where((seen > k) & (which >= begin[doc]), leaf[which], 2000)
+    lately = lately[0] * np.uint64(4096) + lately[1]
+    shift = np.uint64(64 - v.bits)
+    rows = np.empty((FIRST, n), np.int32)
+    for k, f in enumerate((one + np.uint64(11), two + np.uint64(23), one * np.uint64(3) + two * np.uint64(7) + np.uint64(37), leaf_one * np.uint64(4096) + leaf_two + np.uint64(41), text.mix(lately) + np.uint64(43))):
+        rows[k] = text.mix(f) >> shift
+    rows += (np.arange(FIRST, dtype=np.int32) << v.bits)[:, None]
+    # the second factor's rows of a class lie together
+    shift = np.uint64(64 - v.bits + 5)
+    more = np.empty((SECOND, n), np.int32)
+    for k, f in enumerate((one + np.uint64(53), leaf_one + np.uint64(71), text.mix(lately) + np.uint64(61))):
+        more[k] = text.mix(f) >> shift
+    more += (np.arange(FIRST, FIRST + SECOND, dtype=np.int32) << v.bits)[:, None]
+    return Tokens(doc, where, leaf, rows, more, code, h[first], other[first])
+
+
+def _second_rows(t: Tokens, bits: int, at: np.ndarray | slice) -> np.ndarray:
+    return t.more[:, at] + ((t.leaf[at] // CLASSES).astype(np.int32) << np.int32(bits - 5))
+
+
+def _statistics(vocabulary):
+    """Blocks of how often each target follows each row, over all tokens of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        w = weights.value.copy()
-        squares, uses = np.zeros_like(w), np.zeros(HASHED, np.float32)
+        table = np.zeros(((FIRST + SECOND) << v.bits) * CLASSES, np.uint32)
         for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
-            t, _, _ = _tokens(buf, off, v)
-            class_ = t.target // CLASSES
-            for a in range(0, len(class_), BATCH):
-                c, rows = class_[a : a + BATCH], t.rows[:, a : a + BATCH]
-                _update(w, squares, uses, rows, c)
-                inner = np.flatnonzero(c > 0)
-                if len(inner):
-                    _update(w, squares, uses, _within(rows[:, inner], c[inner]), t.target[a : a + BATCH][inner] % CLASSES)
-        w *= uses[:, None]
-        for b in range(0, HASHED, BLOCK):
-            if uses[b : b + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([w[b : b + BLOCK].tobytes()], pa.binary()), pa.array([uses[b : b + BLOCK].tobytes()], pa.binary())], ["block", "w", "uses"])
+            t = _tokens(buf, off, v)
+            class_, inner = (t.leaf // CLASSES).astype(np.int32), (t.leaf % CLASSES).astype(np.int32)
+            for r in t.rows:
+                np.add.at(table, r * np.int32(CLASSES) + class_, np.uint32(1))
+            for r in _second_rows(t, v.bits, slice(None)):
+                np.add.at(table, r * np.int32(CLASSES) + inner, np.uint32(1))
+        table = table.reshape(-1, BLOCK * CLASSES)
+        for b in np.flatnonzero(table.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([table[b].tobytes()], pa.binary())], ["block", "n"])
 
     return run
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by block, one block of doubles held for each block at a time."""
-    held: dict[int, list[np.ndarray]] = {}
+    """Sums by block; a task holds its share of the blocks once."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, w, uses in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            own = held.setdefault(block, [np.zeros(BLOCK * CLASSES), np.zeros(BLOCK)])
-            own[0] += np.frombuffer(w, np.float32)
-            own[1] += np.frombuffer(uses, np.float32)
-    for block, (w, uses) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([uses.astype(np.float32).tobytes()], pa.binary())], ["block", "w", "uses"])
+        for block, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = held.setdefault(block, np.zeros(BLOCK * CLASSES))
+            own += np.frombuffer(n.as_buffer(), np.uint32)
+    for block, n in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], ["block", "n"])
+
+
+def _values(n: np.ndarray, total: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Logs of how much more often targets follow a row than they stand anywhere."""
+    return np.log((n + PRIOR * np.exp(prior)) / (total + PRIOR)[..., None]) - prior
+
+
+def _bucket(total: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(total, 0) + 1) / 2, BUCKETS - 1).astype(np.int64)
 
 
-SCORED = "row long, doc_id long, held_out boolean, word binary, n long, n_tokens long, n_known long, base double, model double"
+def _weighted(counts: np.ndarray, v: Vocabulary, weights: list[np.ndarray]) -> np.ndarray:
+    """Values of all rows times their weights, in place of the counts; rows of feature f begin at f << bits."""
+    rows = 1 << v.bits
+    every = np.concatenate(weights).reshape(-1, BUCKETS)
+    for f in range(FIRST + SECOND):
+        for a in range(f * rows, (f + 1) * rows, BLOCK):
+            n = counts[a : a + BLOCK].astype(np.float64)
+            total = n.sum(1)
+            prior = v.first[None] if f < FIRST else v.second[(np.arange(a - f * rows, a - f * rows + BLOCK) >> (v.bits - 5))]
+            counts[a : a + BLOCK] = _values(n, total, prior) * every[f][_bucket(total)][:, None]
+    return counts
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / z.sum(1))[:, None]
+    return z
+
+
+def _derivatives(counts: np.ndarray, weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, want: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> None:
+    """Adds the gradient and the curvature of a batch; parameter f * BUCKETS + b is feature f's weight for rows of bucket b.
+
+    A token is judged by the counts without itself.
+    """
+    each = np.arange(len(want))
+    g = counts[rows]
+    g[:, each, want] -= 1
+    total = g.sum(2)
+    of = np.arange(len(rows))[:, None] * BUCKETS + _bucket(total)
+    g = _values(g, total, prior)
+    p = _softmax(prior + (weights[of][:, :, None].astype(np.float32) * g).sum(0))
+    mean = (p[None] * g).sum(2)
+    own = g[:, each, want]
+    np.add.at(gradient, of, own - mean)
+    n = len(gradient)
+    for i in range(len(rows)):
+        pg = p * g[i]
+        for j in range(i, len(rows)):
+            both = np.bincount(of[i] * n + of[j], (pg * g[j]).sum(1) - mean[i] * mean[j], n * n).reshape(n, n)
+            curvature += both if i == j else both + both.T
+
+
+def _gradients(vocabulary, table, weights: list[np.ndarray]):
+    """Rows (factor, place, value) of the sums of one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, t_ = vocabulary.value, table.value
+        sums = [(np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
+        for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
+            t = _tokens(buf, off, v)
+            ends = np.flatnonzero(np.append(t.doc[1:] != t.doc[:-1], True))
+            from_end = ends[t.doc] - np.arange(len(t.doc))
+            some = np.flatnonzero(from_end % STRIDE == 0)
+            for a in range(0, len(some), BATCH):
+                at = some[a : a + BATCH]
+                class_ = t.leaf[at] // CLASSES
+                _derivatives(t_, weights[0], v.first.astype(np.float32)[None], t.rows[:, at], class_, *sums[0])
+                _derivatives(t_, weights[1], v.second.astype(np.float32)[class_], _second_rows(t, v.bits, at), t.leaf[at] % CLASSES, *sums[1])
+        for factor, (gradient, curvature) in enumerate(sums):
+            both = np.concatenate([gradient, curvature.reshape(-1)])
+            at = np.flatnonzero(both)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), factor, np.int32)), pa.array(at.astype(np.int32)), pa.array(both[at])], ["factor", "place", "value"])
+
+    return run
+
+
+SCORED = "row long, doc_id long, held_out boolean, h long, other int, n long, n_tokens long, n_known long, base double, model double"
 SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
 
-def _score(weights, vocabulary):
+def _log_p(prior: np.ndarray, value: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """log10 of the probabilities of the targets."""
+    z = value.take(rows[0], 0)
+    for r in rows[1:]:
+        z += value.take(r, 0)
+    z += prior
+    np.clip(z, -80, 80, out=z)
+    own = z[np.arange(len(want)), want].astype(np.float64)
+    np.exp(z, out=z)
+    return (own - np.log(z.sum(1, dtype=np.float64))) / np.log(10)
+
+
+def _score(vocabulary, weighted):
     """A row for each document without its rare words, and one for each rare word of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = vocabulary.value, weights.value
-        ends = pc.index_in(pa.scalar(END, pa.binary()), value_set=v.head).as_py()
-        log_all, log_outside = np.log10(v.tokens + v.types + 1), np.log10(v.outside_tokens + v.outside_types + 1)
+        v, value = vocabulary.value, weighted.value
+        first, second = v.first.astype(np.float32)[None], v.second.astype(np.float32)
+        log_all = np.log10(v.tokens + v.types + 1)
+        log_count = np.log10(np.append(v.count, 0) + 1.0)
         for rows, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
-            t, entries, place = _tokens(buf, off, v)
-            n_docs = len(off) - 1
-            at = np.where(t.word >= 0, place[t.word] if len(place) else -1, -1 if ends is None else ends)
-            rare = (at < 0) & (t.word >= 0)
-            count = np.where(at >= 0, v.count[at], 0)
-            log_count = np.log10(count + 1.0)
-            score = np.zeros(len(at))
-            class_ = t.target // CLASSES
-            for a in range(0, len(at), BATCH):
-                c, r = class_[a : a + BATCH], t.rows[:, a : a + BATCH]
-                score[a : a + BATCH] = np.log10(_softmax(w, r)[np.arange(len(c)), c] + 1e-30)
-                inner = np.flatnonzero(c > 0)
-                if len(inner):
-                    p = _softmax(w, _within(r[:, inner], c[inner]))
-                    score[a + inner] += np.log10(p[np.arange(len(inner)), t.target[a : a + BATCH][inner] % CLASSES] + 1e-30)
-            score += np.where(class_ == 0, np.where(rare, 0, log_count) - log_outside, 0)
-            base = np.where(rare, 0, log_count) - log_all
-            sums = [np.bincount(t.doc, x, n_docs) for x in (base, score)]
-            known = np.bincount(t.doc[count > 0], minlength=n_docs)
-            none, zero = pa.nulls(n_docs, pa.binary()), pa.nulls(n_docs, pa.int64())
-            yield pa.RecordBatch.from_arrays([*rows.columns[:3], none, zero, pa.array(np.bincount(t.doc, minlength=n_docs)), pa.array(known), *map(pa.array, sums)], SCORED_NAMES)
+            t = _tokens(buf, off, v)
+            n_docs, n = len(off) - 1, len(t.doc)
+            score = np.empty(n)
+            class_, inner = t.leaf // CLASSES, t.leaf % CLASSES
+            for a in range(0, n, BATCH):
+                at = slice(a, a + BATCH)
+                score[at] = _log_p(first, value, t.rows[:, at], class_[at])
+                score[at] += _log_p(second[class_[at]], value, _second_rows(t, v.bits, at), inner[at])
+            known = log_count[t.place]  # 0 where there is no place
+            tail = t.leaf >= TOP
+            score += np.where(tail, known - v.within[np.maximum(t.leaf - TOP, 0)], 0)
+            sums = [np.bincount(t.doc, x, n_docs) for x in (known - log_all, score)]
+            count = np.bincount(t.doc[t.place >= 0], minlength=n_docs)
+            none, zero = pa.nulls(n_docs, pa.int64()), pa.nulls(n_docs, pa.int32())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], none, zero, none, pa.array(np.bincount(t.doc, minlength=n_docs)), pa.array(count), *map(pa.array, sums)], SCORED_NAMES)
+            rare = (t.place < 0) & (t.code >= 0)
             if rare.any():
-                key, n = np.unique(t.doc[rare] * len(entries) + t.word[rare], return_counts=True)
-                doc, word = key // len(entries), key % len(entries)
+                key, times = np.unique(t.doc[rare] * len(t.h) + t.code[rare], return_counts=True)
+                doc, code = key // len(t.h), key % len(t.h)
                 m = len(key)
                 long, double = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), long, pa.nulls(m, pa.bool_()), entries.take(pa.array(word)), pa.array(n.astype(np.int64)), long, long, double, double], SCORED_NAMES)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), long, pa.nulls(m, pa.bool_()), pa.array(t.h[code].view(np.int64)), pa.array(t.other[code]), pa.array(times.astype(np.int64)), long, long, double, double], SCORED_NAMES)
 
     return run
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head and the sums; what comes to the driver is bounded by HEAD * MOST_BYTES."""
+    """The head and the sums by tail group; what comes to the driver has a fixed bound."""
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    short = counts.filter(F.length("word") <= MOST_BYTES)
-    level = F.floor(F.log2("n") * 16)
-    levels = sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True)  # 16 for each doubling
+    level = F.floor(F.log2("n") * 16)  # 16 for each doubling
     lowest, held = None, 0
-    for r in levels:
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
         if held + r["count"] > HEAD:
             break
         lowest, held = r["level"], held + r["count"]
-    head = short.filter(level >= lowest).toArrow() if lowest is not None else short.limit(0).toArrow()
-    words, n = head.column("word").combine_chunks().cast(pa.binary()), head.column("n").to_numpy()
-    raw = words.to_pylist()
-    order = np.array(sorted(range(len(raw)), key=lambda i: (-n[i], raw[i])), np.int64)
-    n_model = min(len(raw), CLASSES * CLASSES - CLASSES)
-    inside = int(n[order[:n_model]].sum()) if len(raw) else 0
-    n_all, v_all = int(total[0] or 0), int(total[1])
-    return Vocabulary(words.take(pa.array(order)), n[order], n_model, n_all, v_all, n_all - inside, v_all - n_model)
+    head = (counts.filter(level >= lowest) if lowest is not None else counts.limit(0)).toArrow()
+    h, other, tail, n = (head.column(c).to_numpy() for c in ("h", "other", "tail", "n"))
+    h = h.view(np.uint64)
+    order = np.lexsort((other, h))
+    h, other, tail, n = h[order], other[order], tail[order].astype(np.int64), n[order]
+    top = np.lexsort((h, -n))[:TOP]
+    leaf = np.full(len(h), -1)
+    leaf[top] = np.arange(len(top))
+    v = Vocabulary(h, other, n, leaf, int(total[0] or 0), int(total[1]), 0)
+    v.bits = int(np.clip(np.ceil(np.log2(max(v.tokens, 1))) - TOKENS_BITS, LEAST_BITS, MOST_BITS))
+    tails = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
+    tokens, types, at = np.zeros(TAILS), np.zeros(TAILS), tails.column("tail").to_numpy().astype(np.int64)
+    tokens[at], types[at] = tails.column("n").to_numpy(), tails.column("types").to_numpy()
+    np.subtract.at(tokens, tail[top], n[top])
+    np.subtract.at(types, tail[top], 1)
+    v.within = np.log10(tokens + types + 1)
+    leaves = np.zeros(TOP + TAILS)
+    leaves[: len(top)] = n[top]
+    leaves[TOP:] = tokens
+    leaves = leaves.reshape(CLASSES, CLASSES) + 0.5
+    v.first, v.second = np.log(leaves.sum(1) / leaves.sum()), np.log(leaves / leaves.sum(1, keepdims=True))
+    return v
+
+
+def _step(weights: list[np.ndarray], sums: pa.Table) -> list[np.ndarray]:
+    """Weights after a Newton step, held towards where they were by RIDGE."""
+    factor, place, value = (sums.column(c).to_numpy() for c in ("factor", "place", "value"))
+    out = []
+    for k, w in enumerate(weights):
+        n = len(w)
+        both = np.zeros(n + n * n)
+        both[place[factor == k]] = value[factor == k]
+        out.append(np.clip(w + np.linalg.solve(both[n:].reshape(n, n) + RIDGE * np.eye(n), both[:n]), -0.5, 2))
+    return out
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
-    texts = held_out(docs.select(F.col("doc_id").cast("long"), "text"))
+    texts = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     learned = texts.filter(~F.col("held_out"))
-    counts = learned.select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = learned.select("text").mapInArrow(_counts, "h long, other int, tail short, n long").groupBy("h", "other", "tail").agg(F.sum("n").alias("n"))
     counts = scratch.keep(counts, "counts")
     v = _vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
-    weights = np.zeros((HASHED, CLASSES), np.float32)
-    share = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(ROUNDS))
-    for k in range(ROUNDS):
-        now = spark.sparkContext.broadcast(weights)
-        part = learned.filter(share == k).select("text").mapInArrow(_train(now, shared), "block int, w binary, uses binary")
-        summed = part.repartition(HASHED // BLOCK, "block").mapInArrow(_sum_blocks, "block int, w binary, uses binary").toArrow()
-        weights = weights.copy()
-        for block, w, uses in zip(*(summed.column(i).to_pylist() for i in range(3))):
-            uses = np.frombuffer(uses, np.float32)
-            some = np.flatnonzero(uses)
-            weights[block * BLOCK + some] = np.frombuffer(w, np.float32).reshape(-1, CLASSES)[some] / uses[some, None]
-        now.unpersist()
-    now = spark.sparkContext.broadcast(weights)
+    blocks = learned.select("text").mapInArrow(_statistics(shared), "block int, n binary").repartition("block").mapInArrow(_sum_blocks, "block int, n binary").toArrow()
+    found = np.zeros(((FIRST + SECOND) << v.bits, CLASSES), np.float32)
+    for block, n in zip(blocks.column(0).to_pylist(), blocks.column(1)):
+        found[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(n.as_buffer(), np.float32).reshape(BLOCK, CLASSES)
+    del blocks
+    sent = spark.sparkContext.broadcast(found)
+    weights = [np.full(n * BUCKETS, START) for n in (FIRST, SECOND)]
+    share = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(STEPS))
+    for k in range(STEPS):
+        sums = learned.filter(share == k).select("text").mapInArrow(_gradients(shared, sent, weights), "factor int, place int, value double")
+        weights = _step(weights, sums.groupBy("factor", "place").agg(F.sum("value").alias("value")).toArrow())
+    sent.unpersist()
+    weighted = spark.sparkContext.broadcast(_weighted(found, v, weights))
     numbered = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-    scored = scratch.keep(numbered.mapInArrow(_score(now, shared), SCORED), "scored")
-    rare = scored.filter(F.col("word").isNotNull()).select("row", "word", "n").join(counts.withColumnRenamed("n", "c"), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 1)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    told = scored.filter(F.col("word").isNull()).join(rare, "row", "left")
+    scored = scratch.keep(numbered.mapInArrow(_score(shared, weighted), SCORED), "scored")
+    rare = scored.filter(F.col("h").isNotNull()).select("row", "h", "other", "n").join(counts.select("h", "other", F.col("n").alias("c")), ["h", "other"])
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("known"))
+    told = scored.filter(F.col("h").isNull()).join(rare, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return told.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))

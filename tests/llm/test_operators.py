@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from gridweave.llm import bpe, chunks, language_model, minhash, mixing, neighbours, quality, queries, suffixes, token_count, url_filter
 
+from ..conftest import DATA
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -324,6 +327,17 @@ def test_language_model(docs, rows, empty):
     assert language_model.scores(empty).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_language_model_gains_on_held_out_documents(spark):
+    """Better than the base on held-out documents, and the same scores from other partitions."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got, again = ({(r.doc_id, r.n_tokens): r for r in language_model.scores(d).collect()} for d in (docs, docs.repartition(13)))
+    held = [r for r in got.values() if r.held_out and r.n_tokens > 1]
+    assert sum(r.score for r in held) / sum(r.base_score for r in held) < 0.96
+    assert sum(r.score > r.base_score for r in held) > 0.9 * len(held)
+    assert all(r.score == pytest.approx(again[k].score, rel=1e-6) and r.base_score == pytest.approx(again[k].base_score) for k, r in got.items())
+
+
 def test_suffixes(docs, rows, empty):
     own = defaultdict(set)
     for i, t, *_ in rows:
