@@ -57,14 +57,14 @@ HEAD = 1 << 19
 CLASSES = 32
 TOP = TAILS = CLASSES * CLASSES // 2
 #: Rows of a feature's table: one for about 2^TOKENS_BITS training tokens.
-LEAST_BITS, MOST_BITS, TOKENS_BITS = 13, 17, 11
-STEPS, STRIDE = 3, 8
+LEAST_BITS, MOST_BITS, TOKENS_BITS = 13, 17, 12
+STEPS, STRIDE = 3, 16
 BUCKETS = 8
 #: Features of the first and the second factor.
 FIRST, SECOND = 5, 3
 PRIOR = 4.0
 RIDGE, START = 10.0, 0.4
-BATCH = 8192
+BATCH = 4096
 BLOCK = 1024
 LONG = 4
 END = np.uint64(0x1F3D5B79A2C4E608)
@@ -136,8 +136,11 @@ class Tokens:
     doc: np.ndarray
     place: np.ndarray  # in the head, or -1
     leaf: np.ndarray
-    rows: np.ndarray  # weight rows of the first factor
-    more: np.ndarray  # hashes of the second factor's features
+    key: np.ndarray  # hash of the word
+    seen: np.ndarray  # most frequent words before it in the slice
+    front: np.ndarray  # places of those words
+    begin: np.ndarray  # first and last token of each text
+    end: np.ndarray
     code: np.ndarray  # number of the word in the slice, -1 for ends
     h: np.ndarray  # hashes by that number
     other: np.ndarray
@@ -160,36 +163,35 @@ def _tokens(buf: np.ndarray, off: np.ndarray, v: Vocabulary) -> Tokens:
     leaf[at], where[at] = own[codes], place[codes]
     key = np.full(n, END)
     key[at] = h
-    one, two, leaf_one, leaf_two = np.ones(n, np.uint64), np.ones(n, np.uint64), np.full(n, 2000, np.uint64), np.full(n, 2000, np.uint64)
-    same = doc[1:] == doc[:-1]
-    one[1:], leaf_one[1:] = np.where(same, key[:-1], 1), np.where(same, leaf[:-1], 2000)
-    same = doc[2:] == doc[:-2]
-    two[2:], leaf_two[2:] = np.where(same, key[:-2], 1), np.where(same, leaf[:-2], 2000)
-    # the last two frequent words before each token of its text
-    begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    front = np.flatnonzero((leaf < TOP) & (code >= 0))
-    seen = np.searchsorted(front, np.arange(n))
-    lately = np.full((2, n), 2000, np.uint64)
-    for k in range(2):
-        which = front[np.maximum(seen - 1 - k, 0)] if len(front) else np.zeros(n, np.int64)
-        lately[k] = np.where((seen > k) & (which >= begin[doc]), leaf[which], 2000)
-    lately = lately[0] * np.uint64(4096) + lately[1]
-    shift = np.uint64(64 - v.bits)
-    rows = np.empty((FIRST, n), np.int32)
-    for k, f in enumerate((one + np.uint64(11), two + np.uint64(23), one * np.uint64(3) + two * np.uint64(7) + np.uint64(37), leaf_one * np.uint64(4096) + leaf_two + np.uint64(41), text.mix(lately) + np.uint64(43))):
-        rows[k] = text.mix(f) >> shift
-    rows += (np.arange(FIRST, dtype=np.int32) << v.bits)[:, None]
-    # the second factor's rows of a class lie together
-    shift = np.uint64(64 - v.bits + 5)
-    more = np.empty((SECOND, n), np.int32)
-    for k, f in enumerate((one + np.uint64(53), leaf_one + np.uint64(71), text.mix(lately) + np.uint64(61))):
-        more[k] = text.mix(f) >> shift
-    more += (np.arange(FIRST, FIRST + SECOND, dtype=np.int32) << v.bits)[:, None]
-    return Tokens(doc, where, leaf, rows, more, code, h[first], other[first])
+    is_front = (leaf < TOP) & (code >= 0)
+    ends = np.append(doc[1:] != doc[:-1], True)
+    return Tokens(doc, where, leaf, key, np.cumsum(is_front) - is_front, np.flatnonzero(is_front), np.flatnonzero(np.append(True, ends[:-1])), np.flatnonzero(ends), code, h[first], other[first])
+
 
+def _rows(t: Tokens, bits: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the features of both factors for the tokens at these places."""
+    place = at - t.begin[t.doc[at]]
 
-def _second_rows(t: Tokens, bits: int, at: np.ndarray | slice) -> np.ndarray:
-    return t.more[:, at] + ((t.leaf[at] // CLASSES).astype(np.int32) << np.int32(bits - 5))
+    def back(k: int, values: np.ndarray, none: int) -> np.ndarray:
+        return np.where(place >= k, values[np.maximum(at - k, 0)].astype(np.uint64), np.uint64(none))
+
+    one, two, leaf_one, leaf_two = back(1, t.key, 1), back(2, t.key, 1), back(1, t.leaf, 2000), back(2, t.leaf, 2000)
+    # the last two frequent words before each token of its text
+    lately, seen = [np.full(len(at), 2000, np.uint64)] * 2, t.seen[at]
+    if len(t.front):
+        for k in range(2):
+            which = t.front[np.maximum(seen - 1 - k, 0)]
+            lately[k] = np.where((seen > k) & (which >= at - place), t.leaf[which].astype(np.uint64), np.uint64(2000))
+    lately = text.mix(lately[0] * np.uint64(4096) + lately[1])
+    rows = np.empty((FIRST, len(at)), np.int32)
+    for k, f in enumerate((one + np.uint64(11), two + np.uint64(23), one * np.uint64(3) + two * np.uint64(7) + np.uint64(37), leaf_one * np.uint64(4096) + leaf_two + np.uint64(41), lately + np.uint64(43))):
+        rows[k] = (text.mix(f) >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
+    # the second factor's rows of a class lie together
+    class_ = (t.leaf[at] // CLASSES).astype(np.int32) << np.int32(bits - 5)
+    more = np.empty((SECOND, len(at)), np.int32)
+    for k, f in enumerate((one + np.uint64(53), leaf_one + np.uint64(71), lately + np.uint64(61))):
+        more[k] = (text.mix(f) >> np.uint64(64 - bits + 5)).astype(np.int32) + class_ + np.int32((FIRST + k) << bits)
+    return rows, more
 
 
 def _statistics(vocabulary):
@@ -201,10 +203,9 @@ def _statistics(vocabulary):
         for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t = _tokens(buf, off, v)
             class_, inner = (t.leaf // CLASSES).astype(np.int32), (t.leaf % CLASSES).astype(np.int32)
-            for r in t.rows:
-                np.add.at(table, r * np.int32(CLASSES) + class_, np.uint32(1))
-            for r in _second_rows(t, v.bits, slice(None)):
-                np.add.at(table, r * np.int32(CLASSES) + inner, np.uint32(1))
+            for rows, target in zip(_rows(t, v.bits, np.arange(len(t.doc))), (class_, inner)):
+                for r in rows:
+                    np.add.at(table, r * np.int32(CLASSES) + target, np.uint32(1))
         table = table.reshape(-1, BLOCK * CLASSES)
         for b in np.flatnonzero(table.any(1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([table[b].tobytes()], pa.binary())], ["block", "n"])
@@ -233,7 +234,10 @@ def _bucket(total: np.ndarray) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, v: Vocabulary, weights: list[np.ndarray]) -> np.ndarray:
-    """Values of all rows times their weights, in place of the counts; rows of feature f begin at f << bits."""
+    """Values of all rows times their weights, in place of the counts; rows of feature f begin at f << bits.
+
+    The first feature of each factor holds the logs of the targets' own shares too.
+    """
     rows = 1 << v.bits
     every = np.concatenate(weights).reshape(-1, BUCKETS)
     for f in range(FIRST + SECOND):
@@ -241,7 +245,7 @@ def _weighted(counts: np.ndarray, v: Vocabulary, weights: list[np.ndarray]) -> n
             n = counts[a : a + BLOCK].astype(np.float64)
             total = n.sum(1)
             prior = v.first[None] if f < FIRST else v.second[(np.arange(a - f * rows, a - f * rows + BLOCK) >> (v.bits - 5))]
-            counts[a : a + BLOCK] = _values(n, total, prior) * every[f][_bucket(total)][:, None]
+            counts[a : a + BLOCK] = _values(n, total, prior) * every[f][_bucket(total)][:, None] + (prior if f in (0, FIRST) else 0)
     return counts
 
 
@@ -283,14 +287,12 @@ def _gradients(vocabulary, table, weights: list[np.ndarray]):
         sums = [(np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
         for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t = _tokens(buf, off, v)
-            ends = np.flatnonzero(np.append(t.doc[1:] != t.doc[:-1], True))
-            from_end = ends[t.doc] - np.arange(len(t.doc))
-            some = np.flatnonzero(from_end % STRIDE == 0)
+            some = np.flatnonzero((t.end[t.doc] - np.arange(len(t.doc))) % STRIDE == 0)
             for a in range(0, len(some), BATCH):
                 at = some[a : a + BATCH]
-                class_ = t.leaf[at] // CLASSES
-                _derivatives(t_, weights[0], v.first.astype(np.float32)[None], t.rows[:, at], class_, *sums[0])
-                _derivatives(t_, weights[1], v.second.astype(np.float32)[class_], _second_rows(t, v.bits, at), t.leaf[at] % CLASSES, *sums[1])
+                class_, (rows, more) = t.leaf[at] // CLASSES, _rows(t, v.bits, at)
+                _derivatives(t_, weights[0], v.first.astype(np.float32)[None], rows, class_, *sums[0])
+                _derivatives(t_, weights[1], v.second.astype(np.float32)[class_], more, t.leaf[at] % CLASSES, *sums[1])
         for factor, (gradient, curvature) in enumerate(sums):
             both = np.concatenate([gradient, curvature.reshape(-1)])
             at = np.flatnonzero(both)
@@ -303,16 +305,19 @@ SCORED = "row long, doc_id long, held_out boolean, h long, other int, n long, n_
 SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
 
-def _log_p(prior: np.ndarray, value: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
+ONES = np.ones(CLASSES, np.float32)
+
+
+def _log_p(value: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
     """log10 of the probabilities of the targets."""
     z = value.take(rows[0], 0)
+    held = np.empty_like(z)
     for r in rows[1:]:
-        z += value.take(r, 0)
-    z += prior
-    np.clip(z, -80, 80, out=z)
+        z += value.take(r, 0, held, "clip")
+    np.minimum(z, 80, out=z)
     own = z[np.arange(len(want)), want].astype(np.float64)
     np.exp(z, out=z)
-    return (own - np.log(z.sum(1, dtype=np.float64))) / np.log(10)
+    return (own - np.log(np.maximum(z @ ONES, 1e-30).astype(np.float64))) / np.log(10)
 
 
 def _score(vocabulary, weighted):
@@ -320,7 +325,6 @@ def _score(vocabulary, weighted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, value = vocabulary.value, weighted.value
-        first, second = v.first.astype(np.float32)[None], v.second.astype(np.float32)
         log_all = np.log10(v.tokens + v.types + 1)
         log_count = np.log10(np.append(v.count, 0) + 1.0)
         for rows, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
@@ -329,9 +333,9 @@ def _score(vocabulary, weighted):
             score = np.empty(n)
             class_, inner = t.leaf // CLASSES, t.leaf % CLASSES
             for a in range(0, n, BATCH):
-                at = slice(a, a + BATCH)
-                score[at] = _log_p(first, value, t.rows[:, at], class_[at])
-                score[at] += _log_p(second[class_[at]], value, _second_rows(t, v.bits, at), inner[at])
+                at = np.arange(a, min(n, a + BATCH))
+                first, second = _rows(t, v.bits, at)
+                score[at] = _log_p(value, first, class_[at]) + _log_p(value, second, inner[at])
             known = log_count[t.place]  # 0 where there is no place
             tail = t.leaf >= TOP
             score += np.where(tail, known - v.within[np.maximum(t.leaf - TOP, 0)], 0)
