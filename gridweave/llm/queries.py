@@ -75,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.SQL,
+    "op5_url_filter": url_filter.sql(),
 }

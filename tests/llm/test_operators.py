@@ -313,6 +313,33 @@ def test_url_rules_and_model(spark):
     assert got[10][:2] == ("h", "") and got[11][:2] == ("u@h:8", "/p")
 
 
+def test_url_weights_of_the_sql_are_the_trained_ones(spark):
+    assert url_filter.train(url_filter.labelled(spark)) == pytest.approx(list(url_filter._weights()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """No host of pages is in the labelled table; the model alone tells the two kinds of them apart."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = url_filter.filter_urls(pages, url_filter.train(url_filter.labelled(spark)), rules=[]).collect()
+    learned = {n for own in url_filter.names() for n in own}
+    core = [re.sub(r"^(www|m|blog)\.|\.example\.\w+$", "", re.sub(r"^(www|m|blog)\.", "", r.host)) for r in got]
+    assert not learned & set(core)
+    bad = [bool(re.search("casino|bets|pills|adult|spam|^ads-", c)) for c in core]
+    assert 10 < sum(bad) < len(got) / 2
+    assert sum((r.verdict == "block") == b for r, b in zip(got, bad)) >= 0.95 * len(got)
+
+
+def test_url_filter_takes_awkward_rows(spark):
+    weights = [0.0] * (url_filter.BUCKETS + 1)
+    rows = [(1, "http://a.b/" + "x" * 20000), (1, "http://a.b/"), (None, None), (2, "HTTP://Ünï.org/é?"), (3, "://"), (4, "a://b://c/d")]
+    df = spark.createDataFrame([(i, u, 1, 2, 3) for i, u in rows], "page_id long, url string, host int, path int, found int")
+    got = sorted(((r.page_id, r.host, r.path[:3], r.rule, r.verdict) for r in url_filter.filter_urls(df, weights).collect()), key=str)
+    assert got == sorted([(1, "a.b", "/xx", None, "block"), (1, "a.b", "/", None, "block"), (None, "", "", None, "block"), (2, "Ünï.org", "/é", "org/", "allow"), (3, "", "", None, "block"), (4, "b:", "//c", None, "block")], key=str)
+    assert url_filter.filter_urls(df.limit(0), weights).count() == 0
+    assert url_filter.train(df.select("url", F.lit(1.0).alias("label")).limit(0)) == weights
+
+
 def test_language_model(docs, rows, empty):
     token = {i: [*words((t or "").translate(LOWER)), ""] for i, t, *_ in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in token}
