@@ -312,7 +312,7 @@ def steiner_trees(spark, d):
 def least_cost_paths(spark, d):
     costs = _costs(spark, d)
     found = raster.grid_candidates(costs, 20).withColumn("ord", F.col("row") * 50 + F.col("col"))
-    paths = graphs.least_cost_paths(costs.join(s.meta(spark).select("project_id", "a", "e"), "project_id"), found)
+    paths = graphs.least_cost_paths(costs.join(s.meta(spark).select("project_id", "a", "e"), "project_id"), found).filter("reason is null")
     return paths.select("u", "v", r("weight"), r("length_m"), r("objective"), F.size("path").alias("cells"))
 
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridweave.functions.geom import SHAPE
 
@@ -50,13 +50,29 @@ def tiff_band(raw: bytes) -> tuple[np.ndarray, tuple[float, float, float, float]
 CELLS = "path string, row int, col int, elevation double, a double, c double, e double, f double, file_nodata double"
 
 
-def read_tiff(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of every TIFF below the path, with the grid's affine on each row."""
+def existing(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of the paths that are there, in whatever store they name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    named = {p: jvm.org.apache.hadoop.fs.Path(p) for p in paths}
+    return {p for p, at in named.items() if at.getFileSystem(conf).exists(at)}
+
+
+def plain(path: Column) -> Column:
+    """A path without the scheme of local files, as requests name it."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def read_tiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Cells of every TIFF below the path, with the grid's affine on each row; a file that is no such grid gives one row with row -1."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, raw in zip(part["path"], part["content"]):
-                band, affine, none = tiff_band(bytes(raw))
+                try:
+                    band, affine, none = tiff_band(bytes(raw))
+                except (ValueError, KeyError, IndexError, struct.error):
+                    yield pd.DataFrame({"path": [name], "row": [-1], "col": [-1], "elevation": [None], **{k: [None] for k in "acef"}, "file_nodata": [None]})
+                    continue
                 step = max(1, 100_000 // band.shape[1])
                 for at in range(0, band.shape[0], step):  # bounded pieces, row by row
                     cut = band[at : at + step]
@@ -151,7 +167,7 @@ def _shape(parts: list[tuple[int, list]]) -> list[list[list[dict]]]:
     return out
 
 
-def read_vector(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+def read_vector(spark: SparkSession, path: str | list[str], layer: str | None = None) -> DataFrame:
     """path, geom: all features of each .shp or .gpkg file as one shape."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridweave.functions import crs, geom, ids
+from gridweave.sources import files
 
 REQUEST = """project_id STRING, mode STRING,
 terminals ARRAY<STRUCT<id:STRING, role:STRING, lon:DOUBLE, lat:DOUBLE, attachment_max_km:DOUBLE, outgoing:STRUCT<bearing_deg:DOUBLE, length_m:DOUBLE>>>,
@@ -81,12 +82,37 @@ def rings(geojson: Column) -> Column:
 
 
 def lines(geojson: Column) -> Column:
-    """Lines of an inline GeoJSON line, multiline or feature."""
-    inner = F.when(F.get_json_object(geojson, "$.type") == "Feature", F.get_json_object(geojson, "$.geometry")).otherwise(geojson)
+    """Lines of an inline GeoJSON line, multiline, feature or collection of features."""
     as_points = lambda r: F.transform(r, lambda p: geom.point(p[0], p[1]))
-    single = F.array(as_points(F.from_json(F.get_json_object(inner, "$.coordinates"), "array<array<double>>")))
-    multi = F.transform(F.from_json(F.get_json_object(inner, "$.coordinates"), "array<array<array<double>>>"), as_points)
-    return F.when(F.get_json_object(inner, "$.type") == "LineString", single).when(F.get_json_object(inner, "$.type") == "MultiLineString", multi)
+
+    def one(j: Column) -> Column:
+        inner = F.when(F.get_json_object(j, "$.type") == "Feature", F.get_json_object(j, "$.geometry")).otherwise(j)
+        single = F.array(as_points(F.from_json(F.get_json_object(inner, "$.coordinates"), "array<array<double>>")))
+        multi = F.transform(F.from_json(F.get_json_object(inner, "$.coordinates"), "array<array<array<double>>>"), as_points)
+        return F.when(F.get_json_object(inner, "$.type") == "LineString", single).when(F.get_json_object(inner, "$.type") == "MultiLineString", multi)
+
+    features = F.from_json(F.get_json_object(geojson, "$.features"), "array<string>")
+    return F.when(F.get_json_object(geojson, "$.type") == "FeatureCollection", F.flatten(F.transform(features, one))).otherwise(one(geojson))
+
+
+def vector_shapes(good: DataFrame, base_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(source_path, source_layer, file_geom) of the files that zones and corridors name, and the refs to files that are missing.
+
+    The names come to the driver, as the files must be listed there; their content
+    is read by the executors.
+    """
+    spark = good.sparkSession
+    given = good.select("project_id", F.explode(F.concat(F.coalesce(F.filter(F.transform("r.terrain.zones", lambda z: F.when(z["geometry"].isNull(), z["source"])), lambda s: s.isNotNull()), F.array()), F.when(F.col("r.terrain.corridors.geometry").isNull() & F.col("r.terrain.corridors.source.path").isNotNull(), F.array("r.terrain.corridors.source")).otherwise(F.array()))).alias("s"))
+    refs = given.select("project_id", F.col("s.path").alias("source_path"), F.col("s.layer").alias("source_layer")).withColumn("file", resolved(F.col("source_path"), base_dir)).distinct()
+    names = [(r["file"], r["source_layer"]) for r in refs.select("file", "source_layer").distinct().collect()]
+    there = files.existing(spark, sorted({f for f, _ in names if f}))
+    missing = refs.filter(~F.coalesce(F.col("file").isin(*there), F.lit(False)) if there else F.lit(True))
+    shapes = spark.createDataFrame([], f"file string, source_layer string, file_geom {geom.SHAPE}")
+    for layer in sorted({layer for f, layer in names if f in there}, key=str):
+        own = files.read_vector(spark, sorted(f for f, x in names if f in there and x == layer), layer)
+        shapes = shapes.unionByName(own.select(files.plain(F.col("path")).alias("file"), F.lit(layer).cast("string").alias("source_layer"), F.col("geom").alias("file_geom")))
+    named = refs.select("source_path", "source_layer", files.plain(F.col("file")).alias("file")).distinct()
+    return named.join(shapes, (named["file"] == shapes["file"]) & named["source_layer"].eqNullSafe(shapes["source_layer"])).select("source_path", named["source_layer"], "file_geom"), missing
 
 
 def options_of(parsed: DataFrame) -> DataFrame:
@@ -113,8 +139,14 @@ def projected_shape(shape: Column, epsg: Column) -> Column:
     return F.transform(shape, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, move)))
 
 
-def load(requests: DataFrame) -> Loaded:
-    """requests: a column `request` with one JSON document a row."""
+def with_file_shape(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """rows with file_geom, the shape of the file that they name."""
+    told = shapes.select(F.col("source_path").alias("p"), F.col("source_layer").alias("y"), "file_geom")
+    return rows.join(told, (F.col("source_path") == F.col("p")) & F.col("source_layer").eqNullSafe(F.col("y")), "left").drop("p", "y")
+
+
+def load(requests: DataFrame, base_dir: str = ".") -> Loaded:
+    """requests: a column `request` with one JSON document a row; relative paths in them are below base_dir."""
     parsed = requests.select("request", F.from_json("request", REQUEST, {"mode": "PERMISSIVE"}).alias("r"))
     parsed = parsed.withColumn("project_id", F.coalesce("r.project_id", F.concat(F.lit("request-"), F.sha2(F.coalesce("request", F.lit("")), 256))))
     mode, terrain = F.col("r.mode"), F.col("r.terrain")
@@ -139,6 +171,10 @@ def load(requests: DataFrame) -> Loaded:
     found = parsed.select("project_id", F.posexplode(F.array(*faults)).alias("seq", "f")).filter(F.col("f").isNotNull())
     issues = found.select("project_id", F.col("seq"), F.lit("load").alias("stage"), F.col("f.code").alias("code"), F.col("f.message").alias("message"), F.lit("error").alias("severity"))
     good = parsed.join(issues.select("project_id").distinct(), "project_id", "left_anti")
+    shapes, missing = vector_shapes(good, base_dir)
+    absent = missing.groupBy("project_id").agg(F.min("file").alias("file"))
+    absent = absent.select("project_id", F.lit(len(faults)).alias("seq"), F.lit("load").alias("stage"), F.lit("invalid_request").alias("code"), F.concat(F.lit("geometry file not found: "), F.coalesce("file", F.lit(""))).alias("message"), F.lit("error").alias("severity"))
+    issues = issues.unionByName(absent)
     options = options_of(good)
     t = good.select("project_id", F.posexplode("r.terminals").alias("ord", "t"))
     t = t.select("project_id", "ord", F.col("t.id").alias("terminal_id"), F.col("t.role").alias("role"), F.col("t.lon").alias("lon"), F.col("t.lat").alias("lat"), F.col("t.attachment_max_km").alias("attachment_max_km"), F.col("t.outgoing.bearing_deg").alias("outgoing_bearing_deg"), F.col("t.outgoing.length_m").alias("outgoing_length_m"))
@@ -147,10 +183,14 @@ def load(requests: DataFrame) -> Loaded:
     t = t.join(epsg, "project_id").withColumn("x_m", x).withColumn("y_m", y).withColumn("node_id", ids.terminal_node(F.col("terminal_id")))
     z = good.select("project_id", F.posexplode("r.terrain.zones").alias("ord", "z")).join(epsg, "project_id")
     zmode = F.coalesce("z.mode", F.lit("ban"))
-    core = projected_shape(rings(F.col("z.geometry")), F.col("epsg"))
-    z = z.select("project_id", "ord", F.coalesce("z.id", F.concat(F.lit("zone-"), F.col("ord").cast("string"))).alias("zone_id"), zmode.alias("mode"), F.when(zmode == "penalty", ids.penalty_multiplier(F.col("z.multiplier"), F.col("z.category"))).alias("multiplier"), F.when(zmode == "penalty", F.col("z.category")).alias("category"), F.coalesce("z.buffer_m", F.lit(0.0)).alias("buffer_m"), core.alias("geom_core"), F.col("z.source.path").alias("source_path"), F.col("z.source.layer").alias("source_layer"))
+    z = z.withColumn("source_path", F.col("z.source.path")).withColumn("source_layer", F.col("z.source.layer"))
+    z = with_file_shape(z, shapes)
+    core = projected_shape(F.coalesce(rings(F.col("z.geometry")), "file_geom"), F.col("epsg"))
+    z = z.select("project_id", "ord", F.coalesce("z.id", F.concat(F.lit("zone-"), F.col("ord").cast("string"))).alias("zone_id"), zmode.alias("mode"), F.when(zmode == "penalty", ids.penalty_multiplier(F.col("z.multiplier"), F.col("z.category"))).alias("multiplier"), F.when(zmode == "penalty", F.col("z.category")).alias("category"), F.coalesce("z.buffer_m", F.lit(0.0)).alias("buffer_m"), core.alias("geom_core"), "source_path", "source_layer")
     z = z.withColumn("geom", F.transform("geom_core", lambda polygon: F.concat(F.array(geom.convex_buffer(polygon[0], F.col("buffer_m"))), F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0))))))
-    c = good.select("project_id", F.posexplode(lines(F.col("r.terrain.corridors.geometry"))).alias("line_ord", "l"), F.coalesce("r.terrain.corridors.cost_multiplier", F.lit(CORRIDOR_MULTIPLIER)).alias("cost_multiplier")).join(epsg, "project_id")
+    c = good.select("project_id", "r.terrain.corridors", F.col("r.terrain.corridors.source.path").alias("source_path"), F.col("r.terrain.corridors.source.layer").alias("source_layer")).filter("corridors IS NOT NULL")
+    own = F.coalesce(lines(F.col("corridors.geometry")), F.transform("file_geom", lambda polygon: polygon[0]))
+    c = with_file_shape(c, shapes).select("project_id", F.posexplode(own).alias("line_ord", "l"), F.coalesce("corridors.cost_multiplier", F.lit(CORRIDOR_MULTIPLIER)).alias("cost_multiplier")).join(epsg, "project_id")
     moved = F.transform("l", lambda p: geom.point(*crs.forward(p["x"], p["y"], F.col("epsg"))))
     c = c.select("project_id", "line_ord", moved.alias("geom"), "cost_multiplier")
     return Loaded(good, options.join(epsg, "project_id"), t, z, c, issues)
