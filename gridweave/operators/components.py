@@ -27,7 +27,8 @@ def _to_smallest(arcs: DataFrame, keys: list[str], only_larger: bool) -> DataFra
 def components(links: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None, most_rounds: int = 100) -> DataFrame:
     """keys, node, component (its smallest node) for every node of a link.
 
-    links: keys, u, v; loops and repeated links do no harm.
+    links: keys, u, v; loops and repeated links do no harm.  More than most_rounds
+    rounds, which no graph of less than 2^most_rounds nodes should need, are an error.
     """
     scratch = scratch or Scratch(links.sparkSession, "components")
     keys = list(keys)
@@ -44,6 +45,8 @@ def components(links: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch |
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = links.select(*keys, F.explode(F.array("u", "v")).alias("node")).distinct()
     told = arcs.select(*keys, F.col("u").alias("node"), F.col("v").alias("c"))
     return nodes.join(told, [*keys, "node"], "left").select(*keys, "node", F.coalesce("c", "node").alias("component"))

@@ -1,8 +1,9 @@
 """Zones, points and straight runs: every spatial join of the euclid mode.
 
 Zones of a project are few and hang on one row per project, so that pairing
-nodes stays one equi-join on the project and the zone tests run inside
-generated code.  A bounding box is tested before any edge list.
+nodes stays one equi-join on the project.  The zone tests are higher-order
+functions, which the JVM interprets row by row; a bounding box is tested before
+any edge list, and what is used more than once is bound to a lambda variable.
 """
 
 from __future__ import annotations
@@ -44,14 +45,25 @@ def blocking(ax: Column, ay: Column, bx: Column, by: Column, zones: Column) -> C
     return F.coalesce(F.exists(F.filter(zones, near), lambda z: geom.inside_length(ax, ay, bx, by, z["edges"]) > BAN_EPS), F.lit(False))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def penalised_weight(ax: Column, ay: Column, bx: Column, by: Column, zones: Column, step: Column) -> Column:
-    """Trapezoid sum of the multiplier along a run, at samples about `step` apart."""
+    """Trapezoid sum of the multiplier along a run, at samples about `step` apart; zones off the run's box are left out first."""
     length = geom.distance(ax, ay, bx, by)
+    eps = geom.EPS
+    beside = lambda z: (F.greatest(ax, bx) >= z["xmin"] - eps) & (F.least(ax, bx) <= z["xmax"] + eps) & (F.greatest(ay, by) >= z["ymin"] - eps) & (F.least(ay, by) <= z["ymax"] + eps)
+
+    def along(near: Column, n: Column) -> Column:
+        samples = F.transform(F.sequence(F.lit(0), n - 1), lambda i: multiplier_at(ax + (bx - ax) * i / (n - 1), ay + (by - ay) * i / (n - 1), near))
+        total = _let(samples, lambda m: F.aggregate(m, F.lit(0.0), lambda s, v: s + v) - (m[0] + F.element_at(m, -1)) / 2)
+        return total * length / (n - 1)
+
     n = F.greatest(F.lit(2), F.floor(length / F.greatest(step, F.lit(1.0))).cast("int") + 1)
-    m = F.transform(F.sequence(F.lit(0), n - 1), lambda i: multiplier_at(ax + (bx - ax) * i / (n - 1), ay + (by - ay) * i / (n - 1), zones))
-    total = F.aggregate(m, F.lit(0.0), lambda s, v: s + v) - (m[0] + F.element_at(m, -1)) / 2
-    plain = F.coalesce(F.size(zones), F.lit(0)) <= 0
-    return F.when(length <= 0, F.lit(0.0)).when(plain, length).otherwise(total * length / (n - 1))
+    weighed = _let(F.filter(F.coalesce(zones, F.array()), beside), lambda near: F.when(F.size(near) == 0, length).otherwise(_let(n, lambda k: along(near, k))))
+    return F.when(length <= 0, F.lit(0.0)).otherwise(weighed)
 
 
 def graph_step(length: Column) -> Column:

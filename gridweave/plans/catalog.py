@@ -6,6 +6,7 @@ since engines add in different orders.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -69,21 +70,21 @@ def utm_zone(spark, d):
 
 
 def _forward_sql() -> str:
-    east = " + ".join(["eta", *(f"{a!r}::DOUBLE * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(crs.ALPHA, 1))])
-    north = " + ".join(["xi", *(f"{a!r}::DOUBLE * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(crs.ALPHA, 1))])
-    artanh = lambda v: f"(ln((1 + {v}) / (1 - {v})) / 2)"
+    """The projection by another series than the code's: powers of the distance from the meridian and of the eccentricity."""
+    e2 = (2 - 1 / 298.257223563) / 298.257223563
+    meridian = [1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, -(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024), 15 * e2**2 / 256 + 45 * e2**3 / 1024, -35 * e2**3 / 3072]
+    arc = " + ".join([f"{meridian[0]!r}::DOUBLE * phi", *(f"{m!r}::DOUBLE * sin({2 * k} * phi)" for k, m in enumerate(meridian[1:], 1))])
     return f"""WITH {s.TERMINALS_SQL}, {s.REQUESTS_SQL},
-a AS (SELECT terminal_id, lat, radians(lat) AS phi, radians(lon) - radians(least(floor((lon + 180) / 6) + 1, 60) * 6.0 - 183.0) AS turn FROM placed),
-b AS (SELECT *, {artanh('sin(phi)')} - {crs.C!r}::DOUBLE * {artanh(f'({crs.C!r}::DOUBLE * sin(phi))')} AS psi FROM a),
-c AS (SELECT *, (exp(psi) - exp(-psi)) / 2 AS t FROM b),
-e AS (SELECT *, atan2(t, cos(turn)) AS xi, {artanh('(sin(turn) / sqrt(1 + t * t))')} AS eta FROM c)
-SELECT terminal_id, round(500000.0 + {crs.SCALE * crs.RADIUS!r}::DOUBLE * ({east}), 3) AS x_m, round({crs.SCALE * crs.RADIUS!r}::DOUBLE * ({north}) + CASE WHEN lat < 0 THEN 1e7 ELSE 0 END, 3) AS y_m FROM e"""
+a AS (SELECT terminal_id, lat, radians(lat) AS phi, radians(lon - (least(floor((lon + 180) / 6) + 1, 60) * 6.0 - 183.0)) AS turn FROM placed),
+b AS (SELECT *, 6378137.0::DOUBLE / sqrt(1 - {e2!r}::DOUBLE * sin(phi) * sin(phi)) AS n, tan(phi) * tan(phi) AS t, {e2 / (1 - e2)!r}::DOUBLE * cos(phi) * cos(phi) AS c, turn * cos(phi) AS w, 6378137.0::DOUBLE * ({arc}) AS m FROM a)
+SELECT terminal_id, round(500000.0 + 0.9996::DOUBLE * n * (w + (1 - t + c) * w ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - {58 * e2 / (1 - e2)!r}::DOUBLE) * w ** 5 / 120), 1) AS x_m,
+ round(0.9996::DOUBLE * (m + n * tan(phi) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * w ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - {330 * e2 / (1 - e2)!r}::DOUBLE) * w ** 6 / 720)) + CASE WHEN lat < 0 THEN 1e7 ELSE 0 END, 1) AS y_m FROM b"""
 
 
 @query(_forward_sql())
 def utm_forward(spark, d):
     x, y = crs.forward(F.col("lon"), F.col("lat"), ids.utm_epsg(F.col("lon"), F.col("lat")))
-    return s.placed(spark, d).select("terminal_id", r(x).alias("x_m"), r(y).alias("y_m"))
+    return s.placed(spark, d).select("terminal_id", r(x, 1).alias("x_m"), r(y, 1).alias("y_m"))
 
 
 @query(f"WITH {s.TERMINALS_SQL}, {s.REQUESTS_SQL} SELECT terminal_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM placed")
@@ -263,8 +264,17 @@ def world_to_cell(spark, d):
     return s.terminals(spark, d).select("terminal_id", row.alias("row"), col.alias("col"))
 
 
+def king_moves(reach: int) -> list[tuple[int, int]]:
+    """Offsets by distance in king moves, then by the first of their shortest ways, ways in order of their moves."""
+    moves, found = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)], {}
+    for n in range(reach + 1):
+        for way in itertools.product(moves, repeat=n):
+            found.setdefault((sum(m[0] for m in way), sum(m[1] for m in way)), None)
+    return [*found]
+
+
 @query(f"""WITH {s.TERMINALS_SQL}, {COST_SQL}, spots AS (SELECT node_id, floor((y_m - 6200000) / -50)::INT AS r, floor((x_m - 500000) / 50)::INT AS c FROM terminals),
-offsets AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(raster._search_order(5)))}) AS o(rank, dr, dc))
+offsets AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(king_moves(5)))}) AS o(rank, dr, dc))
 SELECT node_id, arg_min(x."row", rank) AS "row", arg_min(x.col, rank) AS col FROM spots, offsets JOIN costed x ON x."row" = r + dr AND x.col = c + dc AND isfinite(cost) GROUP BY node_id""")
 def snap_to_finite(spark, d):
     row, col = ids.world_to_cell(F.col("x_m"), F.col("y_m"), F.lit(50.0), F.lit(500000.0), F.lit(-50.0), F.lit(6200000.0))
@@ -311,8 +321,8 @@ def steiner_trees(spark, d):
 @query()
 def least_cost_paths(spark, d):
     costs = _costs(spark, d)
-    found = raster.grid_candidates(costs, 20).withColumn("ord", F.col("row") * 50 + F.col("col"))
-    paths = graphs.least_cost_paths(costs.join(s.meta(spark).select("project_id", "a", "e"), "project_id"), found).filter("reason is null")
+    found = raster.grid_candidates(costs, 8).withColumn("ord", F.col("row") * 50 + F.col("col"))
+    paths = graphs.least_cost_paths(costs.join(s.meta(spark).select("project_id", "a", "e"), "project_id"), found, z.near_pairs(found)).filter("reason is null")
     return paths.select("u", "v", r("weight"), r("length_m"), r("objective"), F.size("path").alias("cells"))
 
 

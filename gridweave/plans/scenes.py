@@ -128,17 +128,17 @@ def star_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS_SQL = """
 links AS (SELECT DISTINCT 'net' AS project_id, 'n' || least(c_nationkey, s_nationkey) AS u, 'n' || greatest(c_nationkey, s_nationkey) AS v, (1 + (c_nationkey * 7 + s_nationkey * 7 + c_nationkey * s_nationkey) % 13)::DOUBLE AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey AND (c_nationkey * s_nationkey + c_nationkey + s_nationkey) % 7 = 3)
+  WHERE c_nationkey <> s_nationkey)
 """
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse weighted graph of nations that trade with each other."""
+    """A weighted graph of nations that trade with each other."""
     t = lambda n, *c: table(spark, sf_dir, n).select(*c)
     c, s = F.col("c_nationkey"), F.col("s_nationkey")
     pairs = t("lineitem", "l_orderkey", "l_suppkey").join(t("supplier", F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     pairs = pairs.groupBy("l_orderkey", "s_nationkey").agg(F.lit(1)).join(t("orders", F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(t("customer", F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    pairs = pairs.filter((c != s) & ((c * s + c + s) % 7 == 3))
+    pairs = pairs.filter(c != s)
     name = lambda f: F.concat(F.lit("n"), f(c, s).cast("string"))
     return pairs.select(F.lit("net").alias("project_id"), name(F.least).alias("u"), name(F.greatest).alias("v"), (1 + (c * 7 + s * 7 + c * s) % 13).cast("double").alias("weight")).distinct()
 

@@ -2,8 +2,9 @@
 
 Iterative operators cut their lineage by writing a Parquet table and reading it
 back: the copy survives the loss of any executor, is columnar, and gives the
-planner sizes.  The folder is ``spark.checkpoint.dir`` of the session; only
-where that is unset (tests, a laptop) a local one is made.
+planner sizes.  The folder is ``spark.checkpoint.dir`` of the session; where that
+is unset, a local master (tests, a laptop) gets a local one, and on a cluster it
+is an error, as executors would not see the driver's folder.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

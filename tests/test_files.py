@@ -87,3 +87,22 @@ def test_snapshots(spark, tmp_path):
 def test_faulty_tiff():
     with pytest.raises(ValueError):
         files.tiff_band(b"II\0\0" + b"\0" * 20)
+
+
+def test_service_folders_and_fixtures(tmp_path, monkeypatch):
+    (tmp_path / "one.json").write_text('{"project_id": "p"}')
+    (tmp_path / "note.txt").write_text("no fixture")
+    ask = lambda path, method="GET": service.answer(method, path, b"", lambda text: {}, str(tmp_path))
+    assert ask("/fixtures") == (200, {"fixtures": ["one"]}) and ask("/fixtures/one") == (200, {"project_id": "p"})
+    assert ask("/fixtures/../one")[0] == 404 and ask("/plan", "OPTIONS")[0] == 204
+    assert service.answer("POST", "/plan", b" " * (service.MOST_BYTES + 1), lambda text: {})[0] == 413
+    with pytest.raises(PlanRequestError):
+        service.planned(None, "/etc/hostname", ".")
+    monkeypatch.setenv(service.VARIABLE, "/from/env")
+    assert service.base_folder({}) == "/from/env" and service.base_folder({}, "/given") == "/given" and service.base_folder({service.HEADER: "/head"}, "/given") == "/head"
+
+
+def test_names_of_the_package():
+    import gridweave
+
+    assert all(callable(getattr(gridweave, n)) for n in gridweave.__all__)
