@@ -497,6 +497,13 @@ def routing_summary(spark, d):
     return checks.routing_summary(t, pairs.filter("length_m < 600"), pairs.filter("length_m > 2000")).select("project_id", "nodes", "edges", "components", "skipped", "attempts", r("edge_ratio", 6))
 
 
+@query(f"""WITH {s.TERMINALS_SQL}, {s.FULL_SQL} SELECT project_id, round((greatest(dr, dc) + 1) * 50.0::DOUBLE, 3) AS total_cost, round(50.0::DOUBLE * (greatest(dr, dc) - least(dr, dc) + sqrt(2::DOUBLE) * least(dr, dc)), 1) AS total_length_m FROM ways WHERE dr + dc > 0""")
+def full_plan(spark, d):
+    done = planner.plan_batch(*s.full_batch(spark, d)).responses
+    number = lambda name: F.get_json_object("response", f"$.metrics.{name}").cast("double")
+    return done.select("project_id", r(number("total_cost")).alias("total_cost"), r(number("total_length_m"), 1).alias("total_length_m"))
+
+
 @query()
 def plan_responses(spark, d):
     return planner.plan_batch(s.requests(spark, d)).responses

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridweave.functions import geom, ids
+from gridweave.functions import crs, geom, ids
 from gridweave.operators import zones as z
 
 
@@ -164,3 +164,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = F.when(n % 3 == 0, F.struct(F.lit(0.05).alias("connector_max_km"), F.lit(12).alias("max_points")))
     mode = F.when(n % 11 == 10, "sideways").otherwise("euclid")
     return own.select(F.to_json(F.struct("project_id", mode.alias("mode"), "terminals", options.alias("options"))).alias("request"))
+
+
+FULL_SQL = """
+spots AS (SELECT project_id, ord, (k * 7) % 59 AS r, (k * 13 + ord * 17) % 59 AS c FROM terminals WHERE ord < 2),
+ways AS (SELECT a.project_id, abs(a.r - b.r) AS dr, abs(a.c - b.c) AS dc FROM spots a JOIN spots b ON a.project_id = b.project_id AND a.ord = 0 AND b.ord = 1)
+"""
+
+
+def full_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, cells, meta): the first two terminals of each project on flat ground of 60 x 60 cells of 50 m."""
+    spots = terminals(spark, sf_dir).filter("ord < 2").withColumn("r", F.col("k") * 7 % 59).withColumn("c", (F.col("k") * 13 + F.col("ord") * 17) % 59)
+    lon, lat = crs.inverse(500000.0 + (F.col("c") + 0.5) * 50, 6200000.0 - (F.col("r") + 0.5) * 50, F.lit(32637))
+    one = F.struct("ord", F.struct(F.col("terminal_id").alias("id"), F.when(F.col("ord") == 0, "start").otherwise("end").alias("role"), lon.alias("lon"), lat.alias("lat")).alias("t"))
+    own = spots.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["t"]).alias("terminals"))
+    terrain = F.struct(F.struct(F.lit("grid").alias("path"), F.lit("EPSG:32637").alias("crs")).alias("elevation_raster"))
+    options = F.struct(F.lit(30).alias("candidate_stride_cells"), F.lit(False).alias("normalize_terminal_leaves"), F.lit(False).alias("enforce_attachment_radius"))
+    requests = own.select(F.to_json(F.struct("project_id", F.lit("full").alias("mode"), "terminals", terrain.alias("terrain"), options.alias("options"))).alias("request"))
+    projects = own.select("project_id")
+    cells = projects.select("project_id", F.explode(F.sequence(F.lit(0), F.lit(3599))).alias("id")).select("project_id", F.floor(F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col"), F.lit(100.0).alias("elevation"))
+    meta = projects.select("project_id", *(F.lit(v).alias(n) for n, v in (("a", 50.0), ("c", 500000.0), ("e", -50.0), ("f", 6200000.0), ("nodata", -9999.0))))
+    return requests, cells, meta
