@@ -58,7 +58,7 @@ SIDE = SPREAD - 1
 #: Suffixes of one seed that a task holds at once.
 GROUP = 1 << 14
 #: Positions whose sides are laid out at once.
-POSITIONS = 1 << 13
+POSITIONS = 1 << 15
 LAST = np.uint64(2**64 - 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
