@@ -27,9 +27,9 @@ A row's value for a target is the log of how much more often the target follows
 the row than it stands anywhere, from counts over all training tokens.  The
 model's parameters are one weight for each feature, factor and size of row
 (BUCKETS of them): STEPS gradient updates, each over the documents of another
-share, sum gradient and curvature over the tasks and take a Newton step.  A
-document gives every STRIDE-th of its tokens to these sums, each judged by the
-counts without itself; the counts take all.
+share, sum the gradient over the tasks and move the weights by it, divided by a
+bound of the curvature that the rows' counts give, and by a part of the move
+before.  All training tokens take part, each judged by the counts without itself.
 Counts are whole numbers and the sums do not depend on order but for rounding, so
 partitions and reruns do not change the scores.
 
@@ -57,16 +57,18 @@ HEAD = 1 << 19
 CLASSES = 32
 TOP = TAILS = CLASSES * CLASSES // 2
 #: Rows of a feature's table: one for about 2^TOKENS_BITS training tokens.
-LEAST_BITS, MOST_BITS, TOKENS_BITS = 13, 17, 12
-STEPS, STRIDE = 3, 16
+LEAST_BITS, MOST_BITS, TOKENS_BITS = 13, 17, 11
+STEPS, MOMENTUM = 4, 0.5
 BUCKETS = 8
 #: Features of the first and the second factor.
 FIRST, SECOND = 5, 3
 PRIOR = 4.0
 RIDGE, START = 10.0, 0.4
 BATCH = 4096
+SMALL = 2048
 BLOCK = 1024
 LONG = 4
+ONES = np.ones(CLASSES, np.float32)
 END = np.uint64(0x1F3D5B79A2C4E608)
 _OTHER = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -195,7 +197,7 @@ def _rows(t: Tokens, bits: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _statistics(vocabulary):
-    """Blocks of how often each target follows each row, over all tokens of a task."""
+    """Blocks of how often each target follows each row, over all tokens of a task, in the narrowest type that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -208,7 +210,7 @@ def _statistics(vocabulary):
                     np.add.at(table, r * np.int32(CLASSES) + target, np.uint32(1))
         table = table.reshape(-1, BLOCK * CLASSES)
         for b in np.flatnonzero(table.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([table[b].tobytes()], pa.binary())], ["block", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([table[b].astype(np.min_scalar_type(table[b].max())).tobytes()], pa.binary())], ["block", "n"])
 
     return run
 
@@ -219,7 +221,8 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, n in zip(batch.column(0).to_pylist(), batch.column(1)):
             own = held.setdefault(block, np.zeros(BLOCK * CLASSES))
-            own += np.frombuffer(n.as_buffer(), np.uint32)
+            buf = n.as_buffer()
+            own += np.frombuffer(buf, f"u{buf.size // (BLOCK * CLASSES)}")
     for block, n in held.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], ["block", "n"])
 
@@ -230,73 +233,90 @@ def _values(n: np.ndarray, total: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 
 def _bucket(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(total, 0) + 1) / 2, BUCKETS - 1).astype(np.int64)
+    return np.minimum(np.log2(total + 1) / 2, BUCKETS - 1).astype(np.int64)
 
 
-def _weighted(counts: np.ndarray, v: Vocabulary, weights: list[np.ndarray]) -> np.ndarray:
-    """Values of all rows times their weights, in place of the counts; rows of feature f begin at f << bits.
+def _prepared(counts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sizes of all rows, and the scale of each factor's steps; the rows' values take the place of the counts.
 
-    The first feature of each factor holds the logs of the targets' own shares too.
+    A weight's scale is the variance of its rows' values under the rows' own shares of
+    targets, summed over all training tokens; times the number of features it bounds
+    the curvature, since the features of a token add up.
     """
     rows = 1 << v.bits
-    every = np.concatenate(weights).reshape(-1, BUCKETS)
+    sizes, scale = np.zeros(len(counts), np.float32), np.zeros((FIRST + SECOND, BUCKETS))
     for f in range(FIRST + SECOND):
         for a in range(f * rows, (f + 1) * rows, BLOCK):
-            n = counts[a : a + BLOCK].astype(np.float64)
+            at = slice(a, a + BLOCK)
+            n = counts[at].astype(np.float64)
             total = n.sum(1)
             prior = v.first[None] if f < FIRST else v.second[(np.arange(a - f * rows, a - f * rows + BLOCK) >> (v.bits - 5))]
-            counts[a : a + BLOCK] = _values(n, total, prior) * every[f][_bucket(total)][:, None] + (prior if f in (0, FIRST) else 0)
-    return counts
+            value = _values(n, total, prior)
+            n /= np.maximum(total, 1)[:, None]
+            spread = (n * value**2).sum(1) - (n * value).sum(1) ** 2
+            scale[f] += np.bincount(_bucket(total), total * spread, BUCKETS)
+            sizes[at], counts[at] = total, value
+    return sizes, [scale[:FIRST].reshape(-1) * FIRST, scale[FIRST:].reshape(-1) * SECOND]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z *= (1 / z.sum(1))[:, None]
-    return z
+def _weighted(values: np.ndarray, sizes: np.ndarray, v: Vocabulary, weights: list[np.ndarray]) -> np.ndarray:
+    """Values of all rows times their weights, in place of the values; rows of feature f begin at f << bits.
+
+    The first feature of each factor holds the logs of the targets' own shares too.
+    """
+    rows = 1 << v.bits
+    every = np.concatenate(weights).reshape(-1, BUCKETS)
+    for f in range(FIRST + SECOND):
+        for a in range(f * rows, (f + 1) * rows, BLOCK):
+            at = slice(a, a + BLOCK)
+            prior = v.first[None] if f < FIRST else v.second[(np.arange(a - f * rows, a - f * rows + BLOCK) >> (v.bits - 5))]
+            values[at] = values[at] * every[f][_bucket(sizes[at])][:, None] + (prior if f in (0, FIRST) else 0)
+    return values
 
 
-def _derivatives(counts: np.ndarray, weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, want: np.ndarray, gradient: np.ndarray, curvature: np.ndarray) -> None:
-    """Adds the gradient and the curvature of a batch; parameter f * BUCKETS + b is feature f's weight for rows of bucket b.
+def _gradient(values: np.ndarray, sizes: np.ndarray, weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, want: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Gradient of a batch; parameter f * BUCKETS + b is feature f's weight for rows of bucket b.
 
-    A token is judged by the counts without itself.
+    A token is judged by the counts without itself: that moves all values of a row
+    alike, which a softmax does not see, but for the value of the target.
     """
     each = np.arange(len(want))
-    g = counts[rows]
-    g[:, each, want] -= 1
-    total = g.sum(2)
-    of = np.arange(len(rows))[:, None] * BUCKETS + _bucket(total)
-    g = _values(g, total, prior)
-    p = _softmax(prior + (weights[of][:, :, None].astype(np.float32) * g).sum(0))
-    mean = (p[None] * g).sum(2)
-    own = g[:, each, want]
-    np.add.at(gradient, of, own - mean)
-    n = len(gradient)
-    for i in range(len(rows)):
-        pg = p * g[i]
-        for j in range(i, len(rows)):
-            both = np.bincount(of[i] * n + of[j], (pg * g[j]).sum(1) - mean[i] * mean[j], n * n).reshape(n, n)
-            curvature += both if i == j else both + both.T
+    size = sizes.take(rows)
+    of = np.arange(len(rows))[:, None] * BUCKETS + _bucket(size)
+    own = prior[each if len(prior) > 1 else 0, want]
+    w, g = weights.astype(np.float32).take(of), held[:, : len(want)]
+    mine = np.empty(rows.shape, np.float32)
+    for f, r in enumerate(rows):
+        values.take(r, 0, g[f], "clip")
+        seen = np.exp(g[f][each, want] + own) * (size[f] + np.float32(PRIOR))
+        g[f][each, want] += np.log(np.maximum(seen - 1, np.float32(PRIOR) * np.exp(own)) / seen)
+        mine[f] = g[f][each, want]
+    z = np.einsum("fnk,fn->nk", g, w)
+    z += prior
+    np.exp(np.minimum(z, 80, out=z), out=z)
+    scale = 1 / np.maximum(z @ ONES, np.float32(1e-30))
+    for f in range(len(rows)):
+        mine[f] -= np.einsum("nk,nk->n", z, g[f]) * scale
+    return np.bincount(of.reshape(-1), mine.reshape(-1), len(weights))
 
 
 def _gradients(vocabulary, table, weights: list[np.ndarray]):
     """Rows (factor, place, value) of the sums of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t_ = vocabulary.value, table.value
-        sums = [(np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
+        v, (values, sizes) = vocabulary.value, table.value
+        first, second = v.first.astype(np.float32)[None], v.second.astype(np.float32)
+        sums, held = [np.zeros(len(w)) for w in weights], np.empty((FIRST, SMALL, CLASSES), np.float32)
         for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t = _tokens(buf, off, v)
-            some = np.flatnonzero((t.end[t.doc] - np.arange(len(t.doc))) % STRIDE == 0)
-            for a in range(0, len(some), BATCH):
-                at = some[a : a + BATCH]
+            for a in range(0, len(t.doc), SMALL):
+                at = np.arange(a, min(a + SMALL, len(t.doc)))
                 class_, (rows, more) = t.leaf[at] // CLASSES, _rows(t, v.bits, at)
-                _derivatives(t_, weights[0], v.first.astype(np.float32)[None], rows, class_, *sums[0])
-                _derivatives(t_, weights[1], v.second.astype(np.float32)[class_], more, t.leaf[at] % CLASSES, *sums[1])
-        for factor, (gradient, curvature) in enumerate(sums):
-            both = np.concatenate([gradient, curvature.reshape(-1)])
-            at = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), factor, np.int32)), pa.array(at.astype(np.int32)), pa.array(both[at])], ["factor", "place", "value"])
+                sums[0] += _gradient(values, sizes, weights[0], first, rows, class_, held)
+                sums[1] += _gradient(values, sizes, weights[1], second[class_], more, t.leaf[at] % CLASSES, held[:SECOND])
+        for factor, gradient in enumerate(sums):
+            at = np.flatnonzero(gradient)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), factor, np.int32)), pa.array(at.astype(np.int32)), pa.array(gradient[at])], ["factor", "place", "value"])
 
     return run
 
@@ -305,9 +325,6 @@ SCORED = "row long, doc_id long, held_out boolean, h long, other int, n long, n_
 SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
 
-ONES = np.ones(CLASSES, np.float32)
-
-
 def _log_p(value: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
     """log10 of the probabilities of the targets."""
     z = value.take(rows[0], 0)
@@ -387,15 +404,12 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return v
 
 
-def _step(weights: list[np.ndarray], sums: pa.Table) -> list[np.ndarray]:
-    """Weights after a Newton step, held towards where they were by RIDGE."""
-    factor, place, value = (sums.column(c).to_numpy() for c in ("factor", "place", "value"))
-    out = []
-    for k, w in enumerate(weights):
-        n = len(w)
-        both = np.zeros(n + n * n)
-        both[place[factor == k]] = value[factor == k]
-        out.append(np.clip(w + np.linalg.solve(both[n:].reshape(n, n) + RIDGE * np.eye(n), both[:n]), -0.5, 2))
+def _sums(weights: list[np.ndarray], rows: pa.Table) -> list[np.ndarray]:
+    """The gradient of each factor."""
+    factor, place, value = (rows.column(c).to_numpy() for c in ("factor", "place", "value"))
+    out = [np.zeros(len(w)) for w in weights]
+    for k, gradient in enumerate(out):
+        gradient[place[factor == k]] = value[factor == k]
     return out
 
 
@@ -414,14 +428,19 @@ def scores(docs: DataFrame) -> DataFrame:
     for block, n in zip(blocks.column(0).to_pylist(), blocks.column(1)):
         found[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(n.as_buffer(), np.float32).reshape(BLOCK, CLASSES)
     del blocks
-    sent = spark.sparkContext.broadcast(found)
+    sizes, scale = _prepared(found, v)
+    sent = spark.sparkContext.broadcast((found, sizes))
     weights = [np.full(n * BUCKETS, START) for n in (FIRST, SECOND)]
+    moves = [np.zeros(len(w)) for w in weights]
     share = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(STEPS))
     for k in range(STEPS):
-        sums = learned.filter(share == k).select("text").mapInArrow(_gradients(shared, sent, weights), "factor int, place int, value double")
-        weights = _step(weights, sums.groupBy("factor", "place").agg(F.sum("value").alias("value")).toArrow())
+        ahead = [w + MOMENTUM * m for w, m in zip(weights, moves)]
+        sums = learned.filter(share == k).select("text").mapInArrow(_gradients(shared, sent, ahead), "factor int, place int, value double")
+        found_sums = _sums(weights, sums.groupBy("factor", "place").agg(F.sum("value").alias("value")).toArrow())
+        moves = [MOMENTUM * m + g / (s / STEPS + RIDGE) for m, g, s in zip(moves, found_sums, scale)]
+        weights = [np.clip(w + m, -0.5, 2) for w, m in zip(weights, moves)]
     sent.unpersist()
-    weighted = spark.sparkContext.broadcast(_weighted(found, v, weights))
+    weighted = spark.sparkContext.broadcast(_weighted(found, sizes, v, weights))
     numbered = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
     scored = scratch.keep(numbered.mapInArrow(_score(shared, weighted), SCORED), "scored")
     rare = scored.filter(F.col("h").isNotNull()).select("row", "h", "other", "n").join(counts.select("h", "other", F.col("n").alias("c")), ["h", "other"])
