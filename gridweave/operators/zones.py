@@ -145,45 +145,49 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     return best.select("project_id", "node_id", F.col("b.target_id").alias("target_id"), F.col("b.distance").alias("distance"))
 
 
-def _contested(nodes: DataFrame, spacing: float) -> DataFrame:
-    """project_id, node_id of nodes that have another one nearer than spacing; they meet in square buckets."""
-    at = nodes.select("project_id", "node_id", "ord", "x_m", "y_m", F.floor(F.col("x_m") / spacing).alias("bx"), F.floor(F.col("y_m") / spacing).alias("by"))
+def _contested(nodes: DataFrame) -> DataFrame:
+    """project_id, node_id of nodes that have another one nearer than their gap; they meet in square buckets."""
+    at = nodes.select("project_id", "node_id", "ord", "x_m", "y_m", "gap", F.floor(F.col("x_m") / F.col("gap")).alias("bx"), F.floor(F.col("y_m") / F.col("gap")).alias("by"))
     steps = F.array(*map(F.lit, (-1, 0, 1)))
     spread = at.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
     other = spread.select("project_id", (F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"), F.col("ord").alias("o"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"))
-    near = (F.col("o") != F.col("ord")) & (geom.distance(F.col("x_m"), F.col("y_m"), F.col("ox"), F.col("oy")) < spacing)
+    near = (F.col("o") != F.col("ord")) & (geom.distance(F.col("x_m"), F.col("y_m"), F.col("ox"), F.col("oy")) < F.col("gap"))
     return at.join(other, ["project_id", "bx", "by"]).filter(near).select("project_id", "node_id").distinct()
 
 
-def _thinned(nodes: DataFrame, spacing: float, step) -> DataFrame:
-    """step(kept, node) folded over the ordered nodes of a project that have another one near; all others stay."""
-    own = nodes.select("project_id", "ord", "node_id", "kind", "x_m", "y_m")
-    close = _contested(own, spacing)
-    ordered = own.join(close, ["project_id", "node_id"], "left_semi").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", "node_id", "kind", "x_m", "y_m"))).alias("all"))
+def _thinned(nodes: DataFrame, spacing: float | str, step) -> DataFrame:
+    """step(kept, node) folded over the ordered nodes of a project that have another one near; all others stay.
+
+    spacing: metres, or the column that has the project's.
+    """
+    gap = F.col(spacing) if isinstance(spacing, str) else F.lit(float(spacing))
+    own = nodes.select("project_id", "ord", "node_id", "kind", "x_m", "y_m", F.greatest(gap, F.lit(1e-6)).alias("gap"))
+    close = _contested(own)
+    ordered = own.join(close, ["project_id", "node_id"], "left_semi").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", "node_id", "kind", "x_m", "y_m", "gap"))).alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), step)
-    return own.join(close, ["project_id", "node_id"], "left_anti").unionByName(ordered.select("project_id", F.inline(kept)))
+    return own.join(close, ["project_id", "node_id"], "left_anti").unionByName(ordered.select("project_id", F.inline(kept))).drop("gap")
 
 
-def _near(spacing: float, n: Column):
-    return lambda k: geom.distance(k["x_m"], k["y_m"], n["x_m"], n["y_m"]) < spacing
+def _near(n: Column):
+    return lambda k: geom.distance(k["x_m"], k["y_m"], n["x_m"], n["y_m"]) < n["gap"]
 
 
-def spaced(nodes: DataFrame, spacing: float, always: str = "terminal") -> DataFrame:
+def spaced(nodes: DataFrame, spacing: float | str, always: str = "terminal") -> DataFrame:
     """Greedy thinning by ord: a node stays if no kept one before it is nearer than spacing; `always` kinds stay.
 
     Order decides among nodes that are near each other, so these are one fold for
     each project; nodes without a near one need none.
     """
-    return _thinned(nodes, spacing, lambda kept, n: F.when((n["kind"] == always) | ~F.exists(kept, _near(spacing, n)), F.concat(kept, F.array(n))).otherwise(kept))
+    return _thinned(nodes, spacing, lambda kept, n: F.when((n["kind"] == always) | ~F.exists(kept, _near(n)), F.concat(kept, F.array(n))).otherwise(kept))
 
 
 def admitted(nodes: DataFrame, spacing: float, first: str = "terminal") -> DataFrame:
     """Greedy thinning by ord in which a node of kind `first` drives out nearer ones of other kinds; any other is turned away."""
 
     def step(kept: Column, n: Column) -> Column:
-        near = F.filter(kept, _near(spacing, n))
+        near = F.filter(kept, _near(n))
         stays = (n["kind"] == first) & ~F.exists(near, lambda k: k["kind"] == first)
-        left = F.filter(kept, lambda k: ~_near(spacing, n)(k))
+        left = F.filter(kept, lambda k: ~_near(n)(k))
         return F.when(F.size(near) == 0, F.concat(kept, F.array(n))).when(stays, F.concat(left, F.array(n))).otherwise(kept)
 
     return _thinned(nodes, spacing, step)
@@ -208,7 +212,7 @@ def bounding_box(terminals: DataFrame, buffer_m: Column) -> DataFrame:
     return found.withColumns({c: F.col(c) + (buffer_m if c.endswith("max") else -buffer_m) for c in ("xmin", "ymin", "xmax", "ymax")})
 
 
-def filtered_candidates(candidates: DataFrame, terminals: DataFrame, zones: DataFrame, spacing: float = 1.0, clear: float = 5.0) -> DataFrame:
+def filtered_candidates(candidates: DataFrame, terminals: DataFrame, zones: DataFrame, spacing: float | str = 1.0, clear: float = 5.0) -> DataFrame:
     """Candidates that are clear of terminals and ban zones, thinned greedily."""
     t = terminals.select("project_id", F.col("x_m").alias("tx"), F.col("y_m").alias("ty"))
     close = geom.distance(F.col("x_m"), F.col("y_m"), F.col("tx"), F.col("ty")) < clear

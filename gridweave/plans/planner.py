@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridweave.functions import crs, geom, ids
 from gridweave.operators import checks, graphs, raster, trees, zones as z
-from gridweave.sources import files, requests as rq
+from gridweave.sources import files, programs, requests as rq
 from gridweave.sources.scratch import Scratch
 
 NODE_COLUMNS = ["project_id", "ord", "node_id", "kind", "x_m", "y_m"]
@@ -41,8 +41,29 @@ def _numbered(nodes: DataFrame, *order: str) -> DataFrame:
     return nodes.withColumn("ord", (F.row_number().over(Window.partitionBy("project_id").orderBy(*order)) - 1).cast("int"))
 
 
-def euclid_nodes(loaded: rq.Loaded, zones: DataFrame) -> DataFrame:
-    """Terminals, obstacle vertices, penalty vertices, thinned to 1 m."""
+def steiner_candidates(loaded: rq.Loaded, zones: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(candidates, warnings): points that the external program proposes, clear of terminals, bans and each other."""
+    wanted = loaded.options.filter("euclid_steiner_candidates").select("project_id", "geosteiner_home", F.col("steiner_candidate_spacing_m").alias("candidate_gap"))
+    asked = programs.steiner_inputs(loaded.terminals.join(wanted, "project_id", "left_semi")).join(wanted, "project_id")
+    told = scratch.keep(programs.run_steiner(asked), "programs")
+    raw = files.steiner_points(told.filter("output IS NOT NULL").select("project_id", "candidate_gap", "output"), "output")
+    raw = raw.withColumns({"ord": F.col("at").cast("int"), "node_id": F.concat(F.lit("raw:"), F.col("at").cast("string")), "kind": F.lit("steiner_candidate")})
+    raw = scratch.keep(raw, "raw-candidates")
+    left = z.filtered_candidates(raw, loaded.terminals, zones, "candidate_gap")
+    left = scratch.keep(left, "candidates")
+    n_raw, n_left = raw.groupBy("project_id").agg(F.count("*").alias("raw")), left.groupBy("project_id").agg(F.count("*").alias("kept"))
+    counts = told.join(n_raw, "project_id", "left").join(n_left, "project_id", "left").na.fill(0, ["raw", "kept"])
+    message = F.when(F.col("output").isNull(), F.array(F.concat(F.lit("geosteiner_unavailable:"), "error")))
+    message = message.when(F.col("raw") == 0, F.array(F.lit("geosteiner_unavailable:no_steiner_coordinates_in_bb_output")))
+    filtered = F.when(F.col("raw") > F.col("kept"), F.concat(F.lit("geosteiner_candidates_filtered:"), (F.col("raw") - F.col("kept")).cast("string")))
+    added = F.when(F.col("kept") > 0, F.concat(F.lit("geosteiner_candidates_added:"), F.col("kept").cast("string")))
+    words = counts.select("project_id", F.posexplode(message.otherwise(F.array_compact(F.array(filtered, added)))).alias("seq", "message"))
+    number = F.row_number().over(Window.partitionBy("project_id").orderBy("ord")) - 1
+    return left.withColumn("at", number.cast("int")).withColumn("node_id", F.concat(F.lit("steiner:candidate:"), F.col("at").cast("string"))), words
+
+
+def euclid_nodes(loaded: rq.Loaded, zones: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Terminals, obstacle vertices, penalty vertices and candidates in the project's box, thinned to its spacing."""
     t = loaded.terminals.select("project_id", F.lit(0).alias("family"), F.col("ord").alias("zone_ord"), F.lit(0).alias("at"), "node_id", F.lit("terminal").alias("kind"), "x_m", "y_m")
     box = z.bounding_box(loaded.terminals.join(loaded.options.select("project_id", "clip_buffer_km"), "project_id"), F.lit(0.0))
     box = box.join(loaded.options.select("project_id", "clip_buffer_km"), "project_id")
@@ -50,8 +71,11 @@ def euclid_nodes(loaded: rq.Loaded, zones: DataFrame) -> DataFrame:
     own = zones.drop("xmin", "ymin", "xmax", "ymax").join(loaded.options.select("project_id", "euclid_routing", "obstacle_buffer_m"), "project_id")
     around = z.contour_nodes(own.filter("euclid_routing = 'obstacle'"), box, "ban", "obstacle", "obstacle", F.col("obstacle_buffer_m"))
     beside = z.contour_nodes(own, box, "penalty", "penalty_contour", "penalty")
-    all_ = t.unionByName(around.withColumn("family", F.lit(1))).unionByName(beside.withColumn("family", F.lit(2)))
-    return z.spaced(_numbered(all_, "family", "zone_ord", "at").select(*NODE_COLUMNS), 1.0)
+    inside = F.col("x_m").between(F.col("xmin"), F.col("xmax")) & F.col("y_m").between(F.col("ymin"), F.col("ymax"))
+    proposed = candidates.join(box, "project_id").filter(inside).select("project_id", F.lit(3).alias("family"), F.lit(0).alias("zone_ord"), "at", "node_id", "kind", "x_m", "y_m")
+    all_ = t.unionByName(around.withColumn("family", F.lit(1))).unionByName(beside.withColumn("family", F.lit(2))).unionByName(proposed)
+    gap = loaded.options.select("project_id", F.col("steiner_candidate_spacing_m").alias("gap"))
+    return z.spaced(_numbered(all_, "family", "zone_ord", "at").select(*NODE_COLUMNS).join(gap, "project_id"), "gap")
 
 
 def with_outgoing(nodes: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -331,7 +355,8 @@ def plan_batch(requests: DataFrame, cells: DataFrame | None = None, meta: DataFr
     good = rq.Loaded(loaded.requests, alive(loaded.options), alive(loaded.terminals), alive(zones), alive(loaded.corridors), issues)
     of_mode = lambda df, m: df.join(good.options.filter(F.col("mode") == m).select("project_id"), "project_id", "left_semi")
     euclid = rq.Loaded(good.requests, good.options.filter("mode = 'euclid'"), of_mode(good.terminals, "euclid"), of_mode(good.zones, "euclid"), good.corridors, issues)
-    nodes, connectors = with_outgoing(euclid_nodes(euclid, euclid.zones), euclid.terminals)
+    candidates, program = steiner_candidates(euclid, euclid.zones, scratch)
+    nodes, connectors = with_outgoing(euclid_nodes(euclid, euclid.zones, candidates), euclid.terminals)
     nodes, connectors = scratch.keep(nodes, "nodes"), scratch.keep(connectors, "connectors")
     edges = scratch.keep(euclid_edges(nodes, connectors, euclid.zones, euclid.options), "edges")
     edges = scratch.keep(pruned(edges, nodes, euclid.terminals), "pruned")
@@ -364,7 +389,6 @@ def plan_batch(requests: DataFrame, cells: DataFrame | None = None, meta: DataFr
     warned = warned.unionByName(apart_warnings(dense, ends))
     one = lambda df, rank: df.select("project_id", (F.lit(rank * 10_000_000) + F.row_number().over(Window.partitionBy("project_id").orderBy("seq", "message"))).alias("seq"), "message")
     solver_words = solved.select("project_id", F.posexplode("warnings").alias("seq", "message")).distinct()
-    program = good.options.filter("mode = 'euclid' AND euclid_steiner_candidates").select("project_id", F.lit(0).alias("seq"), F.lit("geosteiner_unavailable:not configured").alias("message"))
     as_words = lambda df: df.select("project_id", "seq", "message")
     final_ban = tree.filter("crosses_ban")
     words = [
@@ -388,7 +412,7 @@ def plan_batch(requests: DataFrame, cells: DataFrame | None = None, meta: DataFr
     # a project whose terminals cannot all be joined has no response
     unsolved = checks._issue(solved.filter("u IS NULL"), "tree", "route_may_be_blocked", F.lit("not all terminals can be joined"))
     out = Planned(scratch.keep(told, "responses"), scratch.keep(issues.unionByName(routing).unionByName(unsolved).unionByName(tree_issues(tree, ends)), "all-issues"))
-    scratch.drop("options", "terminals", "zones", "issues", "nodes", "connectors", "edges", "pruned", "costs", "base-nodes", "exits", "full-nodes", "full-edges", "lost", "routing-issues", "solved", "tree", "dense", "places", "rasters", "cells", "meta")
+    scratch.drop("options", "terminals", "zones", "issues", "programs", "raw-candidates", "candidates", "nodes", "connectors", "edges", "pruned", "costs", "base-nodes", "exits", "full-nodes", "full-edges", "lost", "routing-issues", "solved", "tree", "dense", "places", "rasters", "cells", "meta")
     return out
 
 

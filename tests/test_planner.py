@@ -5,6 +5,7 @@ import json
 import pytest
 
 from gridweave.plans import planner
+from gridweave.sources import programs
 
 PLACES = [("t-start", "start", 39.00160109642316, 55.94447648880544), ("t-mid", "intermediate", 39.0072047670713, 55.94357778592078), ("t-end", "end", 39.00768494254051, 55.942858954676176), ("t-north", "branch", 39.004002805924074, 55.94510538599134)]
 
@@ -57,3 +58,36 @@ def test_faults_are_rows(batch):
     assert {("half", "invalid_request"), ("doubled", "invalid_roles"), ("raster", "invalid_request")} <= codes
     assert set(plans) == {"plain", "wall", "exit"}
     assert sum(i["project_id"].startswith("request-") for i in issues) == 1
+
+
+def generator(folder, points, code=0):
+    """Stand-ins for the two programs: the first passes its input on, the second tells points."""
+    folder.mkdir()
+    lines = "\n".join(f"echo ' % @C {x} {y}'" for x, y in points)
+    for name, body in (("efst", f"cat; exit {code}"), ("bb", f"cat >/dev/null\n{lines}")):
+        (folder / name).write_text(f"#!/bin/sh\n{body}\n")
+        (folder / name).chmod(0o755)
+    return str(folder)
+
+
+def test_candidates_of_the_external_program(spark, tmp_path):
+    from gridweave.sources import requests as rq
+
+    at = rq.load(spark.createDataFrame([(json.dumps(request()),)], "request string")).terminals.orderBy("ord").collect()
+    x, y = sum(t.x_m for t in at) / 4, sum(t.y_m for t in at) / 4
+    points = [(x, y), (x + 0.5, y), (at[0].x_m + 1, at[0].y_m), (x + 30, y), (x + 1e6, y)]
+    homes = {"good": generator(tmp_path / "good", points), "none": generator(tmp_path / "none", []), "bad": generator(tmp_path / "bad", [], 3), "absent": str(tmp_path / "absent")}
+    docs = [request(project_id=k, options={"connector_max_km": 0.05, "geosteiner_home": v}) for k, v in homes.items()]
+    docs += [request(project_id="off", options={"euclid_steiner_candidates": False, "geosteiner_home": homes["good"]}), request(project_id="wide", options={"geosteiner_home": homes["good"], "steiner_candidate_spacing_m": 40.0})]
+    done = planner.plan_batch(spark.createDataFrame([(json.dumps(d),) for d in docs], "request string"))
+    plans = {r["project_id"]: json.loads(r["response"]) for r in done.responses.collect()}
+    told = {k: [w for w in p["warnings"] if w.startswith("geosteiner")] for k, p in plans.items()}
+    assert told == {
+        "good": ["geosteiner_candidates_filtered:2", "geosteiner_candidates_added:3"],
+        "none": ["geosteiner_unavailable:no_steiner_coordinates_in_bb_output"],
+        "bad": ["geosteiner_unavailable:efst failed: " + programs.steiner_inputs(rq.load(spark.createDataFrame([(json.dumps(request()),)], "request string")).terminals).first().input.strip()],
+        "absent": ["geosteiner_unavailable:" + programs.MISSING],
+        "off": [],
+        "wide": ["geosteiner_candidates_filtered:3", "geosteiner_candidates_added:2"],
+    }
+    assert plans["good"]["metrics"]["total_cost"] <= plans["off"]["metrics"]["total_cost"] + 1e-6
