@@ -62,7 +62,7 @@ def steiner_candidates(loaded: rq.Loaded, zones: DataFrame, scratch: Scratch) ->
     return left.withColumn("at", number.cast("int")).withColumn("node_id", F.concat(F.lit("steiner:candidate:"), F.col("at").cast("string"))), words
 
 
-def euclid_nodes(loaded: rq.Loaded, zones: DataFrame, candidates: DataFrame) -> DataFrame:
+def euclid_nodes(loaded: rq.Loaded, zones: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
     """Terminals, obstacle vertices, penalty vertices and candidates in the project's box, thinned to its spacing."""
     t = loaded.terminals.select("project_id", F.lit(0).alias("family"), F.col("ord").alias("zone_ord"), F.lit(0).alias("at"), "node_id", F.lit("terminal").alias("kind"), "x_m", "y_m")
     box = z.bounding_box(loaded.terminals.join(loaded.options.select("project_id", "clip_buffer_km"), "project_id"), F.lit(0.0))
@@ -75,7 +75,7 @@ def euclid_nodes(loaded: rq.Loaded, zones: DataFrame, candidates: DataFrame) ->
     proposed = candidates.join(box, "project_id").filter(inside).select("project_id", F.lit(3).alias("family"), F.lit(0).alias("zone_ord"), "at", "node_id", "kind", "x_m", "y_m")
     all_ = t.unionByName(around.withColumn("family", F.lit(1))).unionByName(beside.withColumn("family", F.lit(2))).unionByName(proposed)
     gap = loaded.options.select("project_id", F.col("steiner_candidate_spacing_m").alias("gap"))
-    return z.spaced(_numbered(all_, "family", "zone_ord", "at").select(*NODE_COLUMNS).join(gap, "project_id"), "gap")
+    return z.spaced(scratch.keep(_numbered(all_, "family", "zone_ord", "at").select(*NODE_COLUMNS).join(gap, "project_id"), "all-nodes"), "gap")
 
 
 def with_outgoing(nodes: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +169,7 @@ def _on_grid(points: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
 SAMPLE_M, SPACING_M = 50.0, 5.0
 
 
-def full_nodes(loaded: rq.Loaded, cells: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+def full_nodes(loaded: rq.Loaded, cells: DataFrame, meta: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(nodes, skipped): terminals on their nearest passable cells, grid candidates, corridor samples, thinned to SPACING_M."""
     placed = _on_grid(loaded.terminals, cells, meta)
     t = placed.filter("row IS NOT NULL").select("project_id", F.lit(0).alias("family"), F.col("ord").cast("long").alias("rank"), "node_id", F.lit("terminal").alias("kind"), F.col("sx").alias("x_m"), F.col("sy").alias("y_m"), "row", "col")
@@ -182,7 +182,7 @@ def full_nodes(loaded: rq.Loaded, cells: DataFrame, meta: DataFrame) -> tuple[Da
     number = F.row_number().over(Window.partitionBy("project_id").orderBy("line_ord", "at")) - 1
     c = marks.withColumn("rank", number.cast("long")).select("project_id", "rank", F.concat(F.lit("corridor:"), F.col("rank").cast("string")).alias("node_id"), F.col("p.x").alias("x_m"), F.col("p.y").alias("y_m"))
     c = _on_grid(c, cells, meta).filter("row IS NOT NULL").select("project_id", F.lit(2).alias("family"), "rank", "node_id", F.lit("corridor").alias("kind"), F.col("sx").alias("x_m"), F.col("sy").alias("y_m"), "row", "col")
-    all_ = _numbered(t.unionByName(g).unionByName(c), "family", "rank")
+    all_ = scratch.keep(_numbered(t.unionByName(g).unionByName(c), "family", "rank"), "grid-nodes")
     kept = z.admitted(all_.select(*NODE_COLUMNS), SPACING_M)
     return kept.join(all_.select("project_id", "node_id", "row", "col"), ["project_id", "node_id"]), skipped
 
@@ -356,7 +356,7 @@ def plan_batch(requests: DataFrame, cells: DataFrame | None = None, meta: DataFr
     of_mode = lambda df, m: df.join(good.options.filter(F.col("mode") == m).select("project_id"), "project_id", "left_semi")
     euclid = rq.Loaded(good.requests, good.options.filter("mode = 'euclid'"), of_mode(good.terminals, "euclid"), of_mode(good.zones, "euclid"), good.corridors, issues)
     candidates, program = steiner_candidates(euclid, euclid.zones, scratch)
-    nodes, connectors = with_outgoing(euclid_nodes(euclid, euclid.zones, candidates), euclid.terminals)
+    nodes, connectors = with_outgoing(euclid_nodes(euclid, euclid.zones, candidates, scratch), euclid.terminals)
     nodes, connectors = scratch.keep(nodes, "nodes"), scratch.keep(connectors, "connectors")
     edges = scratch.keep(euclid_edges(nodes, connectors, euclid.zones, euclid.options), "edges")
     edges = scratch.keep(pruned(edges, nodes, euclid.terminals), "pruned")
@@ -365,7 +365,7 @@ def plan_batch(requests: DataFrame, cells: DataFrame | None = None, meta: DataFr
         m = meta.join(full.select("project_id", "slope_cost_factor", "max_slope_deg", "corridor_buffer_m"), "project_id")
         costs = scratch.keep(raster.cost_raster(alive(cells), m, of_mode(good.zones, "full"), of_mode(good.corridors, "full")), "costs")
         part = rq.Loaded(good.requests, good.options.filter("mode = 'full'"), of_mode(good.terminals, "full"), good.zones, good.corridors, issues)
-        base, off_grid = full_nodes(part, costs, meta)
+        base, off_grid = full_nodes(part, costs, meta, scratch)
         exits, spots = full_exits(part.terminals, scratch.keep(base, "base-nodes"), costs, meta)
         exits, spots = scratch.keep(exits, "exits"), scratch.keep(spots, "full-nodes")
         ways, lost = full_edges(spots, exits, costs, meta)
@@ -412,7 +412,7 @@ def plan_batch(requests: DataFrame, cells: DataFrame | None = None, meta: DataFr
     # a project whose terminals cannot all be joined has no response
     unsolved = checks._issue(solved.filter("u IS NULL"), "tree", "route_may_be_blocked", F.lit("not all terminals can be joined"))
     out = Planned(scratch.keep(told, "responses"), scratch.keep(issues.unionByName(routing).unionByName(unsolved).unionByName(tree_issues(tree, ends)), "all-issues"))
-    scratch.drop("options", "terminals", "zones", "issues", "programs", "raw-candidates", "candidates", "nodes", "connectors", "edges", "pruned", "costs", "base-nodes", "exits", "full-nodes", "full-edges", "lost", "routing-issues", "solved", "tree", "dense", "places", "rasters", "cells", "meta")
+    scratch.drop("options", "terminals", "zones", "issues", "programs", "raw-candidates", "candidates", "all-nodes", "grid-nodes", "nodes", "connectors", "edges", "pruned", "costs", "base-nodes", "exits", "full-nodes", "full-edges", "lost", "routing-issues", "solved", "tree", "dense", "places", "rasters", "cells", "meta")
     return out
 
 
