@@ -354,6 +354,36 @@ def test_language_model(docs, rows, empty):
     assert language_model.scores(empty).count() == 0
 
 
+def test_language_model_gradient():
+    """All tokens of a batch, judged by the counts without themselves, against plain sums."""
+    lm, rng = language_model, np.random.default_rng(5)
+    counts = rng.integers(0, 4, (12, lm.CLASSES)).astype(np.float64)
+    prior = np.log(rng.dirichlet(np.ones(lm.CLASSES), 1))
+    rows = np.array([rng.integers(4 * f, 4 * f + 4, 60) for f in range(3)], np.int32)
+    want = rng.integers(0, lm.CLASSES, 60)
+    for f in range(3):
+        np.add.at(counts, (rows[f], want), 1)
+    weights = rng.uniform(0.1, 1, 3 * lm.BUCKETS)
+    sizes = counts.sum(1)
+    expected = np.zeros(len(weights))
+    for i, w in enumerate(want):
+        z, told = prior[0].copy(), []
+        for f in range(3):
+            n = counts[rows[f, i]].copy()
+            n[w] -= 1
+            value = np.log((n + lm.PRIOR * np.exp(prior[0])) / (n.sum() + lm.PRIOR)) - prior[0]
+            at = f * lm.BUCKETS + lm._bucket(sizes[rows[f, i]])
+            z += weights[at] * value
+            told.append((at, value))
+        p = np.exp(z) / np.exp(z).sum()
+        for at, value in told:
+            expected[at] += value[w] - p @ value
+    values = lm._values(counts, sizes, prior).astype(np.float32)
+    held = np.empty((3, len(want), lm.CLASSES), np.float32)
+    got = lm._gradient(values, sizes.astype(np.float32), weights, prior.astype(np.float32), rows, want, held)
+    assert got == pytest.approx(expected, rel=1e-3, abs=1e-3)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_language_model_gains_on_held_out_documents(spark):
     """Better than the base on held-out documents, and the same scores from other partitions."""
