@@ -26,11 +26,13 @@ parity of the shingles in each bit) bounds a pair's difference from below, so it
 parts the pairs that surely are not similar without loss.  Of the others a task
 gives no more than a few for each document: the closest one of each, and a tree
 of close pairs over all components that they join.  These are confirmed on full
-sets.  Where the whole tree holds, the units' components are one; where it does
-not, the full sets of the units' documents meet in one task, which tries all pairs
-between components that are still apart and gives a tree of the links it finds.
-So every pair that shares a table is in one component or known to be no link, and
-no step gives more rows than documents that it has read.
+sets.  Where the whole tree holds, the units' components are one.  Where it does
+not, the components that the units' trees join make a net.  A document is in one net
+however many tables it shares; the full sets of a net meet, again in units, and
+tasks try all pairs between components that are still apart and give a tree of the
+links they find.  So every pair that shares a table is in one component or known to
+be no link, and no task gives more rows than a few for each document that it has
+read.  A bucket or net of several units is read once for each other unit.
 
 Defined results: texts that are null or have no words are linked with nothing
 and are components of their own (n_shingles 0); repeated rows are copies and
@@ -359,7 +361,7 @@ def _all_links(percent: int):
         doc, comp = (t.column(c).to_numpy() for c in ("doc", "comp"))
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
         n = np.array([len(s) for s in sets])
-        a, b, gap = close_pairs(np.arange(len(doc)), comp, n, [bit_map(s, 16) for s in sets], np.full(len(doc), 2), percent)
+        a, b, gap = close_pairs(np.arange(len(doc)), comp, n, [bit_map(s, 16) for s in sets], t.column("side").to_numpy(), percent)
         names, part = np.unique(comp, return_inverse=True)
         up = list(range(len(names)))
 
@@ -389,32 +391,40 @@ def crossing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b")).filter("c_a <> c_b")
 
 
-def open_pairs(links: DataFrame, groups: DataFrame, chosen: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """group, a, b, tree: of the pairs of two units of an open bucket, some that tell whether its components are one.
+def meetings(rows: DataFrame, scratch: Scratch, name: str = "") -> tuple[DataFrame, DataFrame]:
+    """(members, group and side of each in all its meetings) of rows (key, doc, comp, weight) whose key has several components.
 
-    links tie the members of each bucket together, so a bucket is open only if one
-    of them runs between components, and each of its components has an end of such.
+    The rows of a key are cut into units of about UNIT, and each two units meet in a group.
     """
-    ends = crossing(links, groups).select(F.explode(F.array("c_a", "c_b")).alias("comp")).distinct()
-    loose = chosen.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).join(ends, "comp", "left_semi")
-    # a long text counts as several rows
-    loose = scratch.keep(loose.select(F.col("doc_id").alias("doc"), "comp", "bands", (1 + F.floor(F.col("n") / LONG)).cast("int").alias("weight")), "loose")
-    rows = loose.mapInArrow(_tables, "key long, doc long, comp long, weight int")
-    counts = scratch.keep(rows.groupBy("key", "comp").agg(F.sum("weight").alias("own")), "counts")
+    counts = scratch.keep(rows.groupBy("key", "comp").agg(F.sum("weight").alias("own")), f"{name}counts")
     open_ = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("own").alias("all")).filter("parts > 1")
     # a unit is a part of one large component, or of all the small ones of a bucket
     large = F.col("own") > UNIT
     part = lambda of, size: F.pmod(F.xxhash64(of), F.ceil(F.col(size) / UNIT))
     unit = F.struct(large.alias("large"), F.when(large, F.col("comp")).otherwise(F.lit(0)).alias("of"), F.when(large, part("doc", "own")).otherwise(part("comp", "all")).alias("part"))
     members = rows.join(counts.join(open_, "key"), ["key", "comp"]).select("key", "doc", "comp", unit.alias("unit"))
-    members = scratch.keep(members, "members")
+    members = scratch.keep(members, f"{name}members")
     units = members.select("key", "unit").distinct()
     meet = units.withColumnRenamed("unit", "p").join(units.withColumnRenamed("unit", "q"), "key").filter("p <= q and not (p.large and q.large and p.of = q.of)")
-    meet = scratch.keep(meet.withColumn("group", F.xxhash64("key", "p", "q")), "meet")
+    meet = scratch.keep(meet.withColumn("group", F.xxhash64("key", "p", "q")), f"{name}meet")
     first = members.join(meet.withColumn("unit", F.col("p")), ["key", "unit"]).withColumn("side", F.when(F.col("p") == F.col("q"), 2).otherwise(0))
     last = members.join(meet.filter("p <> q").withColumn("unit", F.col("q")), ["key", "unit"]).withColumn("side", F.lit(1))
+    return members, first.unionByName(last).select("group", "doc", "comp", "side")
+
+
+def open_pairs(links: DataFrame, groups: DataFrame, chosen: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """group, a, b, tree: of the pairs of two units of an open bucket, some that tell whether its components are one.
+
+    links tie the members of each bucket together, so a bucket is open only if one
+    of them runs between components, and each of its components has an end of such.
+    """
+    ends = crossing(links, groups).select(F.explode(F.array("c_a", "c_b")).alias("comp")).distinct()
+    loose = chosen.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).join(ends, "comp", "left_semi")
+    # a long text counts as several rows
+    loose = scratch.keep(loose.select(F.col("doc_id").alias("doc"), "comp", "bands", (1 + F.floor(F.col("n") / LONG)).cast("int").alias("weight")), "loose")
+    members, meeting = meetings(loose.mapInArrow(_tables, "key long, doc long, comp long, weight int"), scratch)
     maps = scratch.keep(Members(members.select("doc").distinct(), "doc").through(texts, "doc_id", _bits, "doc long, n long, bits binary").dropDuplicates(["doc"]), "maps")
-    met = first.unionByName(last).select("group", "doc", "comp", "side").join(maps, "doc").select("group", "doc", "comp", "side", "n", "bits")
+    met = meeting.join(maps, "doc").select("group", "doc", "comp", "side", "n", "bits")
     close = scratch.keep(met.repartition("group").sortWithinPartitions("group").mapInArrow(_close(percent), "group long, a long, b long, tree boolean"), "close")
     scratch.drop("loose", "counts", "members", "meet", "maps")
     return close
@@ -429,6 +439,25 @@ def _full_sets(ends: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
     return scratch.keep(Members(ends, "doc_id").through(texts, "doc_id", _sets, "doc long, set binary").dropDuplicates(["doc"]), name)
 
 
+def unsettled(close: DataFrame, groups: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """Meetings of the documents of all groups whose tree does not hold as a whole, and their full sets; None if all hold.
+
+    Many groups hold the same documents, as a pair may share up to M * M tables.
+    So the components that their trees join make nets, and a document is in one
+    net only: every pair of such a group is in a net, and the units of a net meet.
+    """
+    broken = scratch.keep(crossing(close.filter("tree"), groups).select("group", "c_a", "c_b"), "failed")
+    if broken.isEmpty():
+        return None, None
+    nets = components(broken.select(F.col("c_a").alias("u"), F.col("c_b").alias("v")), scratch=Scratch(close.sparkSession, "minhash-nets")).select(F.col("node").alias("comp"), F.col("component").alias("key"))
+    apart = scratch.keep(close.join(broken.select("group").distinct(), "group", "left_semi").select("a", "b").distinct(), "apart")
+    docs = apart.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left")
+    rest = scratch.keep(docs.select(F.col("node").alias("doc"), F.coalesce("component", "node").alias("comp")).join(nets, "comp"), "rest")
+    sets = _full_sets(rest.select(F.col("doc").alias("doc_id")), texts, scratch, "rest-sets")
+    weight = (1 + F.floor(F.length("set") / (8 * LONG))).cast("int").alias("weight")
+    return meetings(rest.join(sets, "doc").select("key", "doc", "comp", weight), scratch, "rest-")[1], sets
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document; key names the column of ids."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -458,16 +487,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
         sets = _full_sets(_ends(third, scratch, "close-ends"), texts, scratch, "close-sets")
         found = found.unionByName(scratch.keep(confirmed(third, sets, percent), "third-found"))
         groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-third")), "groups-3")
-        # a group whose tree does not hold as a whole is tried pair by pair
-        failed = scratch.keep(crossing(close.filter("tree"), groups).select("group").distinct(), "failed")
-        if not failed.isEmpty():
-            rest = close.join(failed, "group", "left_semi").select("group", F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left")
-            rest = scratch.keep(rest.select("group", F.col("node").alias("doc"), F.coalesce("component", "node").alias("comp")), "rest")
-            sets = _full_sets(rest.select(F.col("doc").alias("doc_id")).distinct(), texts, scratch, "rest-sets")
-            met = rest.join(sets, "doc").select("group", "doc", "comp", "set").repartition("group").sortWithinPartitions("group")
-            found = found.unionByName(scratch.keep(met.mapInArrow(_all_links(percent), "u long, v long"), "fourth"))
+        rest, sets = unsettled(close, groups, texts, scratch)
+        if rest is not None:
+            found = found.unionByName(scratch.keep(rest.join(sets, "doc").select("group", "doc", "comp", "side", "set").repartition("group").sortWithinPartitions("group").mapInArrow(_all_links(percent), "u long, v long"), "fourth"))
             groups = scratch.keep(components(found, scratch=Scratch(docs.sparkSession, "minhash-fourth")), "groups")
-    scratch.drop("links", "sized", "ends", "sets", "close", "close-ends", "close-sets", "failed", "rest", "rest-sets", "first", "second", "third", "third-found", "fourth")
+    scratch.drop("links", "sized", "ends", "sets", "close", "close-ends", "close-sets", "failed", "apart", "rest", "rest-sets", "rest-counts", "rest-members", "rest-meet", "first", "second", "third", "third-found", "fourth")
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", "n", F.coalesce("component", "rep").alias("component"))
     told = sketched.select("doc_id", "n", "p1", "p2").join(named, ["p1", "p2", "n"], "left")
     out = told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

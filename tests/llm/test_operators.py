@@ -142,6 +142,42 @@ def test_minhash_finds_pairs_of_a_loose_family(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("unit", [1000, 60])
+def test_minhash_settles_a_document_once_for_all_its_tables(spark, monkeypatch, unit):
+    """Groups whose trees do not hold share documents; these meet once for each other unit, not for each table."""
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for k in r.sample(range(400), 7 + i % 2):
+            own[k] = f"own{i}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(minhash, "UNIT", unit)
+    kept, keep = {}, minhash.Scratch.keep
+
+    def watched(self, df, name):
+        kept[name] = keep(self, df, name)
+        if name in ("rest", "rest-members", "rest-meet", "apart"):
+            kept[f"{name} rows"] = kept[name].count()
+        return kept[name]
+
+    monkeypatch.setattr(minhash.Scratch, "keep", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = want[i], want[j]
+                want = [min(a, b) if c in (a, b) else c for c in want]
+    assert got == dict(enumerate(want))
+    assert 100 < kept["rest rows"] <= len(texts)
+    assert kept["rest-members rows"] <= len(texts)
+    assert (kept["rest-meet rows"] > 3) == (unit < len(texts))
+
+
 def test_trees_span_all_components():
     r = np.random.default_rng(8)
     for n, m in ((2, 1), (5, 4), (60, 40), (60, 400), (300, 280)):
