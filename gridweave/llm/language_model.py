@@ -54,6 +54,7 @@ from gridweave.llm import text
 from gridweave.sources.scratch import Scratch
 
 HEAD = 1 << 19
+START_BITS = 19
 CLASSES = 32
 TOP = TAILS = CLASSES * CLASSES // 2
 #: Rows of a feature's table: one for about 2^TOKENS_BITS training tokens.
@@ -64,13 +65,15 @@ BUCKETS = 8
 FIRST, SECOND = 5, 3
 PRIOR = 4.0
 RIDGE, START = 10.0, 0.4
-BATCH = 4096
+BATCH = 2048
 SMALL = 2048
 BLOCK = 1024
 LONG = 4
 ONES = np.ones(CLASSES, np.float32)
 END = np.uint64(0x1F3D5B79A2C4E608)
-_OTHER = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 256, dtype=np.uint64)
+SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 2, dtype=np.uint64) | np.uint64(1)
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+WIDE = 64
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -78,35 +81,55 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", key % 7 == 2)
 
 
-def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[text.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of lower-cased texts, their two hashes and their tail groups."""
-    buf = text.LOWER[buf]
+def _lower(buf: np.ndarray) -> np.ndarray:
+    """buf with A-Z lower-cased."""
+    return buf | ((buf - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+def _hash(padded: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; of words over WIDE bytes the rest at once. 8 bytes follow the texts."""
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = end - start
+    h = text.mix((eight[start] & MASK.take(size, mode="clip")) + size.astype(np.uint64) * seed)
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < WIDE:
+        h[more] = text.mix(h[more] * seed + (eight[start[more] + k] & MASK.take(size[more] - k, mode="clip")))
+        k += 8
+        more = more[size[more] > k]
+    if len(more):
+        rest = np.concatenate([padded[a:b] for a, b in zip((start[more] + k).tolist(), end[more].tolist())])
+        to = np.cumsum(size[more] - k)
+        h[more] = text.mix(h[more] * seed + text.span_hash(text.prefix_hash(rest), to - size[more] + k, to))
+    return h
+
+
+def _keys(buf: np.ndarray, off: np.ndarray) -> tuple[text.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts, the number of each among the distinct ones; of those the two hashes, the tail groups and how often they occur."""
+    buf = _lower(buf)
     w = text.words(buf, off)
-    h = text.span_hash(text.prefix_hash(buf), w.start, w.end)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_OTHER[buf], out=run[1:])
-    size = (w.end - w.start).astype(np.uint64)
-    other = (text.mix((run[w.end] - run[w.start]) * np.uint64(0x9E3779B97F4A7C15) + size) >> np.uint64(33)).astype(np.int32)
-    last, before = buf[w.end - 1].astype(np.uint64), np.where(size > 1, buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    codes, first, h = _coded(_hash(padded, w.start, w.end, SEEDS[0]))
+    start, end = w.start[first], w.end[first]
+    other = (_hash(padded, start, end, SEEDS[1]) >> np.uint64(33)).astype(np.int32)
+    size = end - start
+    last, before = buf[end - 1].astype(np.uint64), np.where(size > 1, buf[np.maximum(end - 2, 0)], 0).astype(np.uint64)
     tail = text.mix(last * np.uint64(256) + before + (size > LONG).astype(np.uint64) * np.uint64(65536) + np.uint64(7)) % np.uint64(TAILS)
-    return w, h, other, tail.astype(np.int16)
+    return w, codes, h, other, tail.astype(np.int16), np.bincount(codes, minlength=len(h))
 
 
-def _coded(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each distinct hash for all words, and the place of its first one."""
+def _coded(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each distinct hash for all words, the place of its first one, and those hashes."""
     coded = pa.array(h.view(np.int64)).dictionary_encode()
     codes = coded.indices.to_numpy()
     first = np.zeros(len(coded.dictionary), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    return codes, first
+    return codes, first, h[first]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, buf, off in text.slices(batches, most=2 * text.SLICE_BYTES):
-        _, h, other, tail = _keys(buf, off)
-        codes, first = _coded(h)
-        n = np.bincount(codes, minlength=len(first))
-        columns = [np.append(h[first], END).view(np.int64), np.append(other[first], 0).astype(np.int32), np.append(tail[first], 0).astype(np.int16), np.append(n, len(off) - 1)]
+        _, _, h, other, tail, n = _keys(buf, off)
+        columns = [np.append(h, END).view(np.int64), np.append(other, 0).astype(np.int32), np.append(tail, 0).astype(np.int16), np.append(n, len(off) - 1)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "other", "tail", "n"])
 
 
@@ -122,78 +145,97 @@ class Vocabulary:
     first: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log of P(class)
     second: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log of P(leaf | class)
     within: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of the denominator of P(word | leaf)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # in h by the first bits, made where it is used
 
     def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Place in the head, or -1."""
+        """Place in the head, or -1.
+
+        Hashes are even, so the first bits lead to where a word would stand, or a few places before.
+        """
         if not len(self.h):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        if not len(self.starts):
+            self.starts = np.searchsorted(self.h, np.arange(1 << START_BITS, dtype=np.uint64) << np.uint64(64 - START_BITS))
+        at = np.minimum(self.starts[h >> np.uint64(64 - START_BITS)], len(self.h) - 1)
+        open_ = np.flatnonzero(self.h[at] < h)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.h)]
+            open_ = open_[self.h[at[open_]] < h[open_]]
+        at = np.minimum(at, len(self.h) - 1)
         return np.where((self.h[at] == h) & (self.other[at] == other), at, -1)
 
 
 @dataclass
 class Tokens:
-    """Tokens of a slice, each text's end token after its words."""
+    """Tokens of a slice, each text's end token after its words.
+
+    The distinct words of the slice are numbered; the end has the next number, and
+    what stands before a text the one after.
+    """
 
     doc: np.ndarray
-    place: np.ndarray  # in the head, or -1
+    code: np.ndarray  # number of the word
     leaf: np.ndarray
-    key: np.ndarray  # hash of the word
-    seen: np.ndarray  # most frequent words before it in the slice
-    front: np.ndarray  # places of those words
+    front: np.ndarray  # number of the last of the most frequent words before it in its text, from 1; 0: none
     begin: np.ndarray  # first and last token of each text
     end: np.ndarray
-    code: np.ndarray  # number of the word in the slice, -1 for ends
-    h: np.ndarray  # hashes by that number
-    other: np.ndarray
+    key: np.ndarray  # by number: hash
+    leaves: np.ndarray  # leaf, 2000 before a text
+    place: np.ndarray  # in the head, or -1
+    other: np.ndarray  # second hash
+    lately: np.ndarray  # mix of the leaves of each of the most frequent words and of the one before it in its text
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray, v: Vocabulary) -> Tokens:
-    w, h, other, tail = _keys(buf, off)
-    codes, first = _coded(h)
-    place = v.find(h[first], other[first])
-    own = np.where(place >= 0, v.leaf[place] if len(v.leaf) else -1, -1)
-    own = np.where(own >= 0, own, TOP + tail[first].astype(np.int64))
-    n_docs, n = len(off) - 1, len(h) + len(off) - 1
-    at = np.arange(len(h)) + w.doc()
-    code = np.full(n, -1, np.int64)
-    code[at] = codes
-    doc = np.repeat(np.arange(n_docs), np.diff(w.ptr) + 1)
-    end = v.find(np.array([END]), np.zeros(1, np.int32))
-    leaf = np.full(n, v.leaf[end[0]] if end[0] >= 0 and v.leaf[end[0]] >= 0 else TOP)
-    where = np.full(n, end[0])
-    leaf[at], where[at] = own[codes], place[codes]
-    key = np.full(n, END)
-    key[at] = h
-    is_front = (leaf < TOP) & (code >= 0)
-    ends = np.append(doc[1:] != doc[:-1], True)
-    return Tokens(doc, where, leaf, key, np.cumsum(is_front) - is_front, np.flatnonzero(is_front), np.flatnonzero(np.append(True, ends[:-1])), np.flatnonzero(ends), code, h[first], other[first])
-
-
-def _rows(t: Tokens, bits: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the features of both factors for the tokens at these places."""
-    place = at - t.begin[t.doc[at]]
-
-    def back(k: int, values: np.ndarray, none: int) -> np.ndarray:
-        return np.where(place >= k, values[np.maximum(at - k, 0)].astype(np.uint64), np.uint64(none))
-
-    one, two, leaf_one, leaf_two = back(1, t.key, 1), back(2, t.key, 1), back(1, t.leaf, 2000), back(2, t.leaf, 2000)
-    # the last two frequent words before each token of its text
-    lately, seen = [np.full(len(at), 2000, np.uint64)] * 2, t.seen[at]
-    if len(t.front):
-        for k in range(2):
-            which = t.front[np.maximum(seen - 1 - k, 0)]
-            lately[k] = np.where((seen > k) & (which >= at - place), t.leaf[which].astype(np.uint64), np.uint64(2000))
-    lately = text.mix(lately[0] * np.uint64(4096) + lately[1])
-    rows = np.empty((FIRST, len(at)), np.int32)
-    for k, f in enumerate((one + np.uint64(11), two + np.uint64(23), one * np.uint64(3) + two * np.uint64(7) + np.uint64(37), leaf_one * np.uint64(4096) + leaf_two + np.uint64(41), lately + np.uint64(43))):
-        rows[k] = (text.mix(f) >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
+    w, codes, h, other, tail, _ = _keys(buf, off)
+    key, other = np.append(h, [END, np.uint64(1)]), np.append(other, [0, 0]).astype(np.int32)
+    place = v.find(key[:-1], other[:-1])
+    leaves = np.where(place >= 0, v.leaf[place] if len(v.leaf) else -1, -1)
+    leaves = np.append(np.where(leaves >= 0, leaves, TOP + np.append(tail, 0).astype(np.int64)), 2000)
+    n_docs, n_words = len(off) - 1, len(h)
+    size = np.diff(w.ptr) + 1
+    end = np.cumsum(size) - 1
+    begin = end - size + 1
+    code = np.insert(codes, w.ptr[1:], n_words)
+    doc = np.repeat(np.arange(n_docs), size)
+    leaf = leaves.take(code)
+    is_front = leaf < TOP
+    is_front[end] = False
+    front, seen = np.flatnonzero(is_front), np.cumsum(is_front)
+    before = seen[begin] - is_front[begin]  # of earlier texts
+    seen -= is_front
+    # the last two frequent words, however far back
+    last = np.append(2000, leaf[front]).astype(np.uint64)
+    second = np.append(last[:1], last[:-1])
+    second[before[before < len(front)] + 1] = 2000  # the first one of a text, if it has any
+    return Tokens(doc, code, leaf, np.where(seen > np.repeat(before, size), seen, 0), begin, end, key, leaves, np.append(place, -1), other, text.mix(last * np.uint64(4096) + second))
+
+
+def _rows(t: Tokens, bits: int) -> np.ndarray:
+    """Rows of the features of both factors for all tokens."""
+    before = len(t.key) - 1
+    one, two = np.append(before, t.code[:-1]), np.append([before] * 2, t.code[:-2])[: len(t.code)]
+    one[t.begin], two[t.begin] = before, before
+    two[t.begin[t.end > t.begin] + 1] = before
+    rows = np.empty((FIRST + SECOND, len(t.code)), np.int32)
+    leaf = t.leaves.astype(np.uint64)
+
+    def row(f: np.ndarray, own_bits: int = bits) -> np.ndarray:
+        return (text.mix(f) >> np.uint64(64 - own_bits)).astype(np.int32)
+
+    row(t.key + np.uint64(11)).take(one, out=rows[0], mode="clip")
+    row(t.key + np.uint64(23)).take(two, out=rows[1], mode="clip")
+    rows[2] = row((t.key * np.uint64(3) + np.uint64(37)).take(one) + (t.key * np.uint64(7)).take(two))
+    rows[3] = row((leaf * np.uint64(4096) + np.uint64(41)).take(one) + leaf.take(two))
+    row(t.lately + np.uint64(43)).take(t.front, out=rows[4], mode="clip")
     # the second factor's rows of a class lie together
-    class_ = (t.leaf[at] // CLASSES).astype(np.int32) << np.int32(bits - 5)
-    more = np.empty((SECOND, len(at)), np.int32)
-    for k, f in enumerate((one + np.uint64(53), leaf_one + np.uint64(71), lately + np.uint64(61))):
-        more[k] = (text.mix(f) >> np.uint64(64 - bits + 5)).astype(np.int32) + class_ + np.int32((FIRST + k) << bits)
-    return rows, more
+    row(t.key + np.uint64(53), bits - 5).take(one, out=rows[5], mode="clip")
+    row(leaf + np.uint64(71), bits - 5).take(one, out=rows[6], mode="clip")
+    row(t.lately + np.uint64(61), bits - 5).take(t.front, out=rows[7], mode="clip")
+    rows[FIRST:] += (t.leaf // CLASSES).astype(np.int32) << np.int32(bits - 5)
+    rows += np.arange(FIRST + SECOND, dtype=np.int32)[:, None] << np.int32(bits)
+    return rows
 
 
 def _statistics(vocabulary):
@@ -205,9 +247,8 @@ def _statistics(vocabulary):
         for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t = _tokens(buf, off, v)
             class_, inner = (t.leaf // CLASSES).astype(np.int32), (t.leaf % CLASSES).astype(np.int32)
-            for rows, target in zip(_rows(t, v.bits, np.arange(len(t.doc))), (class_, inner)):
-                for r in rows:
-                    np.add.at(table, r * np.int32(CLASSES) + target, np.uint32(1))
+            for f, r in enumerate(_rows(t, v.bits)):
+                np.add.at(table, r * np.int32(CLASSES) + (class_ if f < FIRST else inner), np.uint32(1))
         table = table.reshape(-1, BLOCK * CLASSES)
         for b in np.flatnonzero(table.any(1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([table[b].astype(np.min_scalar_type(table[b].max())).tobytes()], pa.binary())], ["block", "n"])
@@ -280,21 +321,23 @@ def _gradient(values: np.ndarray, sizes: np.ndarray, weights: np.ndarray, prior:
     A token is judged by the counts without itself: that moves all values of a row
     alike, which a softmax does not see, but for the value of the target.
     """
-    each = np.arange(len(want))
     size = sizes.take(rows)
     of = np.arange(len(rows))[:, None] * BUCKETS + _bucket(size)
-    own = prior[each if len(prior) > 1 else 0, want]
+    at = np.arange(0, len(want) * CLASSES, CLASSES) + want
+    own = prior.take(at if len(prior) > 1 else want)
     w, g = weights.astype(np.float32).take(of), held[:, : len(want)]
     mine = np.empty(rows.shape, np.float32)
     for f, r in enumerate(rows):
         values.take(r, 0, g[f], "clip")
-        seen = np.exp(g[f][each, want] + own) * (size[f] + np.float32(PRIOR))
-        g[f][each, want] += np.log(np.maximum(seen - 1, np.float32(PRIOR) * np.exp(own)) / seen)
-        mine[f] = g[f][each, want]
-    z = np.einsum("fnk,fn->nk", g, w)
+        g[f].reshape(-1).take(at, out=mine[f], mode="clip")
+    seen = np.exp(mine + own) * (size + np.float32(PRIOR))
+    less = np.log(np.maximum(seen - 1, np.float32(PRIOR) * np.exp(own)) / seen)
+    z = np.einsum("fnk,fn->nk", g, w, order="C")
     z += prior
+    z.reshape(-1)[at] += np.einsum("fn,fn->n", w, less)
     np.exp(np.minimum(z, 80, out=z), out=z)
     scale = 1 / np.maximum(z @ ONES, np.float32(1e-30))
+    mine += less * (1 - z.take(at) * scale)
     for f in range(len(rows)):
         mine[f] -= np.einsum("nk,nk->n", z, g[f]) * scale
     return np.bincount(of.reshape(-1), mine.reshape(-1), len(weights))
@@ -309,11 +352,11 @@ def _gradients(vocabulary, table, weights: list[np.ndarray]):
         sums, held = [np.zeros(len(w)) for w in weights], np.empty((FIRST, SMALL, CLASSES), np.float32)
         for _, buf, off in text.slices(batches, most=text.SLICE_BYTES // 2):
             t = _tokens(buf, off, v)
+            rows, class_, inner = _rows(t, v.bits), t.leaf // CLASSES, t.leaf % CLASSES
             for a in range(0, len(t.doc), SMALL):
-                at = np.arange(a, min(a + SMALL, len(t.doc)))
-                class_, (rows, more) = t.leaf[at] // CLASSES, _rows(t, v.bits, at)
-                sums[0] += _gradient(values, sizes, weights[0], first, rows, class_, held)
-                sums[1] += _gradient(values, sizes, weights[1], second[class_], more, t.leaf[at] % CLASSES, held[:SECOND])
+                at = slice(a, a + SMALL)
+                sums[0] += _gradient(values, sizes, weights[0], first, rows[:FIRST, at], class_[at], held)
+                sums[1] += _gradient(values, sizes, weights[1], second.take(class_[at], 0), rows[FIRST:, at], inner[at], held[:SECOND])
         for factor, gradient in enumerate(sums):
             at = np.flatnonzero(gradient)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), factor, np.int32)), pa.array(at.astype(np.int32)), pa.array(gradient[at])], ["factor", "place", "value"])
@@ -332,7 +375,7 @@ def _log_p(value: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
     for r in rows[1:]:
         z += value.take(r, 0, held, "clip")
     np.minimum(z, 80, out=z)
-    own = z[np.arange(len(want)), want].astype(np.float64)
+    own = z.take(np.arange(0, len(want) * CLASSES, CLASSES) + want).astype(np.float64)
     np.exp(z, out=z)
     return (own - np.log(np.maximum(z @ ONES, 1e-30).astype(np.float64))) / np.log(10)
 
@@ -348,25 +391,26 @@ def _score(vocabulary, weighted):
             t = _tokens(buf, off, v)
             n_docs, n = len(off) - 1, len(t.doc)
             score = np.empty(n)
-            class_, inner = t.leaf // CLASSES, t.leaf % CLASSES
+            features, class_, inner = _rows(t, v.bits), t.leaf // CLASSES, t.leaf % CLASSES
             for a in range(0, n, BATCH):
-                at = np.arange(a, min(n, a + BATCH))
-                first, second = _rows(t, v.bits, at)
-                score[at] = _log_p(value, first, class_[at]) + _log_p(value, second, inner[at])
-            known = log_count[t.place]  # 0 where there is no place
+                at = slice(a, a + BATCH)
+                score[at] = _log_p(value, features[:FIRST, at], class_[at]) + _log_p(value, features[FIRST:, at], inner[at])
+            place = t.place.take(t.code)
+            known = log_count[t.place].take(t.code)  # 0 where there is no place
             tail = t.leaf >= TOP
             score += np.where(tail, known - v.within[np.maximum(t.leaf - TOP, 0)], 0)
             sums = [np.bincount(t.doc, x, n_docs) for x in (known - log_all, score)]
-            count = np.bincount(t.doc[t.place >= 0], minlength=n_docs)
+            count = np.bincount(t.doc[place >= 0], minlength=n_docs)
             none, zero = pa.nulls(n_docs, pa.int64()), pa.nulls(n_docs, pa.int32())
-            yield pa.RecordBatch.from_arrays([*rows.columns[:3], none, zero, none, pa.array(np.bincount(t.doc, minlength=n_docs)), pa.array(count), *map(pa.array, sums)], SCORED_NAMES)
-            rare = (t.place < 0) & (t.code >= 0)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], none, zero, none, pa.array(t.end - t.begin + 1), pa.array(count), *map(pa.array, sums)], SCORED_NAMES)
+            rare = place < 0
+            rare[t.end] = False
             if rare.any():
-                key, times = np.unique(t.doc[rare] * len(t.h) + t.code[rare], return_counts=True)
-                doc, code = key // len(t.h), key % len(t.h)
+                key, times = np.unique(t.doc[rare] * len(t.key) + t.code[rare], return_counts=True)
+                doc, code = key // len(t.key), key % len(t.key)
                 m = len(key)
                 long, double = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), long, pa.nulls(m, pa.bool_()), pa.array(t.h[code].view(np.int64)), pa.array(t.other[code]), pa.array(times.astype(np.int64)), long, long, double, double], SCORED_NAMES)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), long, pa.nulls(m, pa.bool_()), pa.array(t.key[code].view(np.int64)), pa.array(t.other[code]), pa.array(times.astype(np.int64)), long, long, double, double], SCORED_NAMES)
 
     return run
 
